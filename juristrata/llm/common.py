@@ -66,3 +66,20 @@ def per_class_sample(df: DataFrame, by: str, order: Column, n: int) -> DataFrame
 
     w = Window.partitionBy(by).orderBy(order)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+
+
+FILTER_WORDS = 1 << 17
+"""64-bit words of a bitmap filter: at most this many (word, bits) rows of 12 bytes are broadcast, whatever the input."""
+
+
+def bitmap_filter(keys: DataFrame, key: str, words: int = FILTER_WORDS) -> DataFrame:
+    """A one-hash Bloom filter over a long column, as rows (word, bits); its size has a fixed bound."""
+    slots = keys.select(F.pmod(F.col(key), F.lit(words * 64)).alias("slot"))
+    return slots.groupBy(F.expr("cast(slot div 64 AS int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("bits"))
+
+
+def pass_filter(rows: DataFrame, key: Column, filter_rows: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+    """The rows whose key the filter may hold: all that match and a few more, picked before any shuffle."""
+    slotted = rows.withColumn("_slot", F.pmod(key, F.lit(words * 64)))
+    joined = slotted.withColumn("_word", F.expr("cast(_slot div 64 AS int)")).join(F.broadcast(filter_rows.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))), "_word")
+    return joined.where(F.expr("getbit(_bits, cast(_slot % 64 AS int)) = 1")).drop("_slot", "_word", "_bits")

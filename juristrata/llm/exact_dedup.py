@@ -18,11 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from juristrata.llm.common import ASCII_SPACE, materialize
-
-FILTER_WORDS = 1 << 17
-"""64-bit words of the hit filter: at most this many (word, bits) rows are broadcast, 12 bytes each."""
-
+from juristrata.llm.common import ASCII_SPACE, bitmap_filter, materialize, pass_filter
 
 def normalized(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), ASCII_SPACE, "")
@@ -51,21 +47,11 @@ def compact(runs: DataFrame) -> DataFrame:
     ).select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), "group_size")
 
 
-def _slot(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(FILTER_WORDS * 64))
-
-
-def hit_filter(hits: DataFrame) -> DataFrame:
-    """A bitmap over digest hashes as (word, bits); never more than FILTER_WORDS rows, however many hits there are."""
-    slots = hits.select(_slot(F.col("digest")).alias("slot"))
-    return slots.groupBy(F.expr("cast(slot div 64 AS int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("bits"))
-
-
 def collisions(docs: DataFrame, hits: DataFrame, text_col: str, digest) -> DataFrame:
     """Digests whose rows are not all the same bytes: the byte verification of every hit."""
     rows = docs.select(normalized(F.col(text_col)).alias("norm")).withColumn("digest", digest(F.col("norm")))
-    rows = rows.withColumn("slot", _slot(F.col("digest"))).withColumn("word", F.expr("cast(slot div 64 AS int)"))
-    passed = rows.join(F.broadcast(hit_filter(hits)), "word").where(F.getbit("bits", (F.col("slot") % 64).cast("int")) == 1)
+    held = bitmap_filter(hits.select(F.xxhash64("digest").alias("h")), "h")
+    passed = pass_filter(rows, F.xxhash64("digest"), held)
     spans = passed.groupBy("digest").agg(F.min(F.encode("norm", "UTF-8")).alias("low"), F.max(F.encode("norm", "UTF-8")).alias("high"), F.count(F.lit(1)).alias("n"))
     return spans.where((F.col("n") > 1) & (F.col("low") != F.col("high"))).select("digest")
 

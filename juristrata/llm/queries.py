@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juristrata.llm import bpe, exact_dedup
+from juristrata.llm import bpe, exact_dedup, language_id, line_dedup, minhash
+from juristrata.llm.common import held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +28,65 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_dedup(table(spark, sf_dir, "documents"), shingle_words=4, share=(80, 100))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, ~held_out(3, 1))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_bpe": op7_bpe,
+    "op8_language_id": op8_language_id,
 }
 
 SQL = {
+    "op1_minhash": r"""
+        WITH RECURSIVE w AS MATERIALIZED (
+          SELECT doc_id, list_filter(regexp_split_to_array(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+          FROM documents),
+        s AS MATERIALIZED (
+          SELECT DISTINCT doc_id, array_to_string(words[i : i + 3], ' ') AS shingle
+          FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 3, 1))) AS i FROM w WHERE len(words) > 0)),
+        n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        both_of AS MATERIALIZED (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+          FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS MATERIALIZED (
+          SELECT a, b FROM both_of JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+          WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        reach(doc_id, other) AS (
+          SELECT doc_id, doc_id FROM documents
+          UNION SELECT r.doc_id, u.b FROM reach r JOIN u ON u.a = r.other)
+        SELECT doc_id, coalesce(n.n, 0) AS n_shingles, min(other) AS component_id, doc_id = min(other) AS kept
+        FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id, n.n""",
+    "op3_line_dedup": r"""
+        WITH l AS (
+          SELECT doc_id, line, pos,
+                 translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+          FROM (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos
+                FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
+        f AS (SELECT key FROM l WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.key IS NULL), '')) AS kept_sha256
+        FROM l LEFT JOIN f ON l.key = f.key GROUP BY doc_id""",
     "op4_exact_dedup": r"""
         WITH n AS (
           SELECT doc_id, length(coalesce(text, '')) AS chars,
