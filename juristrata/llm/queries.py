@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juristrata.llm import bpe, exact_dedup, language_id, line_dedup, minhash
+from juristrata.llm import bpe, exact_dedup, language_id, line_dedup, minhash, mixing, url_filter
 from juristrata.llm.common import held_out
 
 
@@ -38,6 +38,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+MIX_POWER = 0.5
+"""Target weight of a source in op5: its number of rows to this power."""
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), power=MIX_POWER)
+
+
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs, ~held_out(3, 1))
@@ -49,8 +64,10 @@ QUERIES = {
     "op1_minhash": op1_minhash,
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_mixing": op5_mixing,
     "op7_bpe": op7_bpe,
     "op8_language_id": op8_language_id,
+    "op9_url_filter": op9_url_filter,
 }
 
 SQL = {
@@ -99,4 +116,32 @@ SQL = {
                text_sha256
         FROM n
         WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)""",
+    "op5_mixing": r"""
+        WITH RECURSIVE n AS (SELECT coalesce('=' || source, 'null') AS key, count(*) AS n FROM documents GROUP BY 1),
+        i AS (SELECT key, n, (1000 - count(*) OVER ()) * sqrt(n) / sum(sqrt(n)) OVER () AS ideal FROM n),
+        p AS MATERIALIZED (
+          SELECT key, n, 1 + floor(ideal)::BIGINT + (row_number() OVER (ORDER BY round(ideal - floor(ideal), 9) DESC, key)
+                                     <= 1000 - sum(1 + floor(ideal)::BIGINT) OVER ())::BIGINT AS p
+          FROM i),
+        -- one frame: at every slot the released block with the earliest deadline
+        f(t, had, pick) AS (
+          SELECT -1, (SELECT map_from_entries(list({'k': key, 'v': 0::BIGINT} ORDER BY key)) FROM p), NULL::VARCHAR
+          UNION ALL
+          SELECT t + 1,
+                 map_from_entries(list_transform(map_entries(had), lambda e: {'k': e.key, 'v': e.value + (e.key = x.k)::BIGINT})), x.k
+          FROM f, LATERAL (
+            SELECT p.key AS k FROM p
+            WHERE f.had[p.key] < p.p AND f.had[p.key] * 1000 // p.p <= f.t + 1
+            ORDER BY ((f.had[p.key] + 1) * 1000 + p.p - 1) // p.p, p.key LIMIT 1) x
+          WHERE t < 999),
+        slots AS (SELECT pick AS key, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS i FROM f WHERE t >= 0),
+        h AS (SELECT min(n // 8 * 1000 // p) AS horizon FROM p),
+        d AS (
+          SELECT doc_id, source, coalesce('=' || source, 'null') AS key,
+                 row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS seq
+          FROM documents),
+        b AS (SELECT doc_id, source, p, key, seq // 8 AS block, seq % 8 AS place FROM d JOIN p USING (key))
+        SELECT doc_id, source, block, place, block // p * 1000 + slot AS slot, block * 1000 // p AS release,
+               ((block + 1) * 1000 + p - 1) // p AS deadline, block // p * 1000 + slot < horizon AS within
+        FROM b JOIN slots ON slots.key = b.key AND slots.i = b.block % b.p, h""",
 }
