@@ -165,16 +165,19 @@ def train(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str =
     return Model(x, [g[0] for g in got], np.array([g[3] % 3 == 0 for g in got]))
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: doc_id, lang_pred, score."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = narrow.schema["doc_id"].dataType.simpleString()
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """For each row: doc_id, lang_pred, score; with keep, these columns of the row too, under a struct `row`."""
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*keep).alias("row")] if keep else []))
+    kinds = [f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}", "lang_pred string, score double"] + ([f"row {narrow.schema['row'].dataType.simpleString()}"] if keep else [])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for rb in batches:
             out = [m.predict(features(t)) if m and t and LETTER.search(t) else ("und", 0.0) for t in rb.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([a for a, _ in out], pa.string()), pa.array([float(s) for _, s in out], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            columns = {"doc_id": rb.column(0), "lang_pred": pa.array([a for a, _ in out], pa.string()), "score": pa.array([float(s) for _, s in out], pa.float64())}
+            if rb.num_columns == 3:
+                columns["row"] = rb.column(2)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return narrow.mapInArrow(run, ", ".join(kinds))
