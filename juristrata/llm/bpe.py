@@ -27,8 +27,9 @@ WORDS = 400_000
 PAIRS = 500_000
 """What a worker keeps at most between batches: pieces, words, pairs of tokens."""
 NEVER = 1 << 60
-PRINTABLE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-"""The file's word pattern on lower-case printable ASCII without white space."""
+LATIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u00ff]+")
+LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^a-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u00ff]+")
+"""Printable Latin-1 without spaces (NFC leaves it as it is), and the usual word pattern on it in lower case."""
 
 
 class TrieEncoder:
@@ -51,11 +52,18 @@ class TrieEncoder:
         self.apart: dict[tuple[str, str], bool] = {}
         self.spines: dict[str, tuple[list, list] | None] = {}
         self.odd: set[str] = set()
-        self.words: dict[str, tuple[bytes, str]] = {}
+        self.words: dict[str, tuple[bytes, str]] = {t: (i.to_bytes(4, "little"), t) for t, i in self.special.items()}
         self.longest = max(len(self._plain(t)) for t in self.vocab)
         self.pieces: dict[bytes, tuple[bytes, str]] = {}
-        probe = "it's 3x!?it'll'"  # the shortcut for printable ASCII holds for files with this word pattern only
-        self.plain = PRINTABLE.findall(probe.replace(" ", "")) == [w for p in probe.split() for w, _ in self.pre_tokenizer.pre_tokenize_str(p)] and self.normalizer.normalize_str("aB") == "ab"
+        # The shortcut for printable Latin-1 is taken only for files whose own rules give the same on a probe of all of it.
+        letters = {chr(c): self._by_file(chr(c)) for c in range(0xA1, 0x100)}
+        self.bytes_of = str.maketrans({c: "".join(w) for c, w in letters.items() if c == c.lower()})
+        probe = ["it's", "x!?", "it'll'", "3x45", *(f"a{chr(c)}{chr(c)}'s\u00b2" for c in [*range(33, 127), *range(0xA1, 0x100)] if c != 0xAD)]
+        self.plain = all([w.translate(self.bytes_of) for w in LATIN_WORDS.findall(t.lower())] == self._by_file(t) for t in probe)
+
+    def _by_file(self, bit: str) -> list[str]:
+        """Words of a piece of text by the tokenizer file's own normaliser and splitter."""
+        return [w for w, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(bit))]
 
     def _plain(self, token: str) -> str:
         return token.removesuffix(self.suffix) if self.suffix and token != self.suffix else token
@@ -168,33 +176,41 @@ class TrieEncoder:
         return [self.vocab[t] for t in self.merge([*word[:-1], word[-1] + self.suffix]) if t in self.vocab]
 
     def _split(self, bit: str) -> list[str]:
-        if self.plain and bit.isascii() and bit.isprintable():
-            return PRINTABLE.findall(bit.lower())
-        return [w for w, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(bit))]
+        if self.plain and LATIN.fullmatch(bit):
+            found = LATIN_WORDS.findall(bit.lower())
+            return found if bit.isascii() else [w.translate(self.bytes_of) for w in found]
+        return self._by_file(bit)
 
     def learn(self, pieces: set[bytes]) -> None:
         """Encode pieces that are not known yet."""
-        plan: dict[bytes, list[str | int]] = {}
+        single: list[tuple[bytes, str]] = []
+        several: list[tuple[bytes, list[str]]] = []
+        special, cut, split = self.special, self.cut, self._split
         for piece in pieces:
             text = piece.decode("utf-8")
-            if self.cut and "<" in text:
-                plan[piece] = [x for bit in self.cut.split(text) if bit for x in ([self.special[bit]] if bit in self.special else self._split(bit))]
+            if cut and "<" in text:
+                parts = [x for bit in cut.split(text) if bit for x in ([bit] if bit in special else split(bit))]
+            else:
+                parts = split(text)
+            if len(parts) == 1:
+                single.append((piece, parts[0]))
             else:
-                plan[piece] = self._split(text)
+                several.append((piece, parts))
         words, token = self.words, self.token
-        fresh = {w for parts in plan.values() for w in parts if w not in words}
+        wanted = {w for _, w in single}.union(*(parts for _, parts in several))
+        fresh = wanted.difference(words)
         if len(words) + len(fresh) > WORDS and words:
             words.clear()
-            fresh = {w for parts in plan.values() for w in parts}
-        fresh = {w for w in fresh if not isinstance(w, int)}
+            words.update((t, (i.to_bytes(4, "little"), t)) for t, i in special.items())
+            fresh = wanted.difference(words)
         for word, ids in self.encode_words(fresh).items():
             words[word] = (b"".join([i.to_bytes(4, "little") for i in ids]), " ".join([token[i] for i in ids]))
-        for piece, parts in plan.items():
-            if len(parts) == 1 and parts[0] in words:
-                self.pieces[piece] = words[parts[0]]
-                continue
-            found = [(x.to_bytes(4, "little"), token[x]) if isinstance(x, int) else words[x] for x in parts]
-            self.pieces[piece] = (b"".join([i for i, _ in found]), " ".join([s for i, s in found if i]))
+        known = self.pieces
+        for piece, word in single:
+            known[piece] = words[word]
+        for piece, parts in several:
+            found = [words[w] for w in parts]
+            known[piece] = (b"".join([i for i, _ in found]), " ".join([s for i, s in found if i]))
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """(ids as little-endian 32-bit, decoded text) for each text."""
