@@ -30,7 +30,8 @@ def build_index(chunks: DataFrame, encoder: Callable[[list[str]], list[list[floa
     def encode(texts: pd.Series) -> pd.Series:
         return pd.Series(encoder(texts.tolist()))
 
-    return numbered.select("pos", F.col("id").alias("node_id"), "doc_title", "section", "source", F.left("body", F.lit(600)).alias("text"), unit(encode("body")).alias("embedding"))
+    encoded = numbered.select("pos", F.col("id").alias("node_id"), "doc_title", "section", "source", F.left("body", F.lit(600)).alias("text"), encode("body").alias("embedding"))
+    return encoded.withColumn("embedding", unit(F.col("embedding")))
 
 
 def hashing_encoder(width: int = 64) -> Callable[[list[str]], list[list[float]]]:

@@ -503,7 +503,7 @@ def semantic_threshold(i):
     return search.top_k(i.table("embeddings"), _first_vector(i), 10, 0.25, pos="vec_id").select("vec_id", "similarity")
 
 
-@query(sql_with(f"""SELECT h.vec_id AS pos, h.similarity, c.doc_title, left(trim(substr(c.content, instr(c.content, '| TEXT:') + 7)), 500) AS text FROM (
+@query(sql_with(f"""SELECT h.vec_id AS pos, h.similarity, c.doc_title, coalesce(left(trim(substr(c.content, instr(c.content, '| TEXT:') + 7)), 500), '') AS text FROM (
     SELECT e.vec_id, {_DOT} AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY 2 DESC, 1 LIMIT 5) h LEFT JOIN chunks c ON c.id = 'doc' || h.vec_id::VARCHAR || '.xml_0'""", "chunks"))
 def semantic_enrich(i):
     index = i.table("embeddings").selectExpr("vec_id AS pos", "concat('doc', vec_id, '.xml_0') AS node_id", "embedding")

@@ -177,14 +177,16 @@ def parse(files: DataFrame, rows: Callable[[Doc], Iterator[dict]], schema: str)
     """Fields of each file's rows, with file, ord (from 0) and error (null, or why the file gave no rows)."""
     names = ["file", "ord", "error", *(f.strip().split()[0] for f in re.sub(r"<[^>]*>", "", schema).split(","))]
 
+    blank = dict.fromkeys(names)
+
     def run(frames):
         for frame in frames:
             out = []
             for file, content in zip(frame["file"], frame["content"], strict=True):
                 try:
-                    out += [{"file": file, "ord": i, "error": None} | row for i, row in enumerate(rows(Doc(bytes(content))))]
+                    out += [blank | {"file": file, "ord": i} | row for i, row in enumerate(rows(Doc(bytes(content))))]
                 except ET.ParseError as e:
-                    out.append({"file": file, "ord": -1, "error": str(e)})
+                    out.append(blank | {"file": file, "ord": -1, "error": str(e)})
             yield pd.DataFrame(out, columns=names, dtype=object)
 
     return files.select("file", "content").mapInPandas(run, f"file string, ord bigint, error string, {schema}")
