@@ -77,7 +77,7 @@ class Inputs:
     def e_li(self) -> DataFrame:
         """Many edges with repeated keys: supplier to part."""
         return self.table("lineitem").selectExpr(
-            "l_orderkey * 10 + l_linenumber AS seq", "cast(l_suppkey AS string) AS source_id", "cast(l_partkey AS string) AS target",
+            "cast(date_format(l_shipdate, 'yyyyMMdd') AS bigint) AS seq", "cast(l_suppkey AS string) AS source_id", "cast(l_partkey AS string) AS target",
             "CASE l_returnflag WHEN 'R' THEN 'REPEALS' WHEN 'A' THEN 'AMENDS' ELSE 'CITES' END AS action_type", "l_discount / 7.0D AS confidence", "cast(NULL AS string) AS detail", "date_format(l_shipdate, 'yyyy-MM-dd') AS date", "cast(NULL AS string) AS provenance",
         )
 
@@ -136,7 +136,7 @@ CTE = {
     "enriched": r"""SELECT t.*, CASE WHEN NOT regexp_full_match(c.heading, '[\s.]+') THEN c.heading END AS heading, nullif(c.part, chr(0)) AS part,
         nullif(trim(substr(c.content, instr(c.content, '| TEXT:') + 7)), '')[:500] AS content_snippet FROM t LEFT JOIN last_own c ON c.id = t.source_id""",
     "titles": """SELECT p_partkey, p_name || CASE p_type WHEN 'ECONOMY' THEN ' Road Traffic' WHEN 'SMALL' THEN ' Police Court' WHEN 'MEDIUM' THEN ' Gas Supply' WHEN 'PROMO' THEN ' Housing Tax' WHEN 'LARGE' THEN ' Soil' ELSE '' END AS title FROM part""",
-    "e_li": """SELECT l_orderkey * 10 + l_linenumber AS seq, l_suppkey::VARCHAR AS source_id, l_partkey::VARCHAR AS target, CASE l_returnflag WHEN 'R' THEN 'REPEALS' WHEN 'A' THEN 'AMENDS' ELSE 'CITES' END AS action_type,
+    "e_li": """SELECT strftime(l_shipdate, '%Y%m%d')::BIGINT AS seq, l_suppkey::VARCHAR AS source_id, l_partkey::VARCHAR AS target, CASE l_returnflag WHEN 'R' THEN 'REPEALS' WHEN 'A' THEN 'AMENDS' ELSE 'CITES' END AS action_type,
         l_discount / 7.0::DOUBLE AS confidence, strftime(l_shipdate, '%Y-%m-%d') AS date FROM lineitem""",
     "titled": "SELECT DISTINCT source_id, source_title AS title, act_name, action_type FROM t",
 }
