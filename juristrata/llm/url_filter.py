@@ -1,7 +1,8 @@
 """URL filtering: a rule list, and association rules mined from labelled URLs, with DataFrame functions only.
 
 A URL's tokens are the parts of its host and the words of its path and query, numbers folded into one token.
-Labelled URLs (by default those that the rule list decides) become baskets of tokens plus their label; Spark's
+Labelled URLs become baskets of tokens plus their label (by default every URL, labelled as blocked where the rule list
+blocks it; what no rule decides counts as not blocked, so a token is not sure only because rules look at it); Spark's
 FP-growth finds the frequent itemsets; those with the block label give rules tokens -> block, pruned by support,
 confidence and lift, and by simpler rules at least as sure. An inverted index holds each rule under its rarest token,
 so a URL meets only rules that share such a token, and all other tokens are then checked.
@@ -63,8 +64,9 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_lif
     # Only tokens that are frequent among blocked URLs can be in a rule: others need not enter the trees.
     least = min_support * total
     frequent = labelled.where("blocked").select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least)
-    names = F.broadcast(frequent.agg(F.collect_list("token").alias("useful")))  # at most tokens-a-URL / min_support names
-    baskets = labelled.join(names).select(F.concat(F.array_intersect("tokens", "useful"), F.array(F.when(F.col("blocked"), F.lit(BLOCKED)).otherwise(F.lit(ALLOWED)))).alias("items"))
+    names = [r["token"] for r in frequent.orderBy("token").collect()]  # at most (tokens of a URL) / min_support names
+    useful = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
+    baskets = labelled.select(F.concat(F.array_intersect(F.col("tokens"), useful), F.array(F.when(F.col("blocked"), F.lit(BLOCKED)).otherwise(F.lit(ALLOWED)))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     sets = materialize(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
     with_block = sets.where(F.array_contains("items", BLOCKED) & (F.size("items") > 1)).select(F.array_remove("items", BLOCKED).alias("items"), F.col("freq").alias("both"))
@@ -92,7 +94,7 @@ def match(pages: DataFrame, rules: DataFrame, key: str) -> DataFrame:
 def url_filter(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, min_support: float = 0.002, min_confidence: float = 0.8, min_lift: float = 1.2, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """For each row: page_id, host, path, rule, verdict, confidence, matched.
 
-    labels: (page_id, blocked boolean); null: the rule list's own verdicts are the labels.
+    labels: (page_id, blocked boolean); null: the rule list's own blocks are the labels.
     """
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     parts = narrow.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
@@ -100,7 +102,7 @@ def url_filter(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = N
     judged = parts.withColumn("rule", name).withColumn("ruled", verdict).withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path"))).withColumn("rid", F.monotonically_increasing_id()).drop("url")
     judged = materialize(judged, "urls")
     if labels is None:
-        labelled = judged.where("ruled IS NOT NULL").select("tokens", (F.col("ruled") == "block").alias("blocked"))
+        labelled = judged.select("tokens", F.coalesce(F.col("ruled") == "block", F.lit(False)).alias("blocked"))
     else:
         labelled = judged.join(labels.select(F.col(id_col).alias("page_id"), "blocked").where("blocked IS NOT NULL").groupBy("page_id").agg(F.bool_or("blocked").alias("blocked")), "page_id").select("tokens", "blocked")
     found = match(judged.where("rule IS NULL").select("rid", "tokens"), mine(labelled, min_support, min_confidence, min_lift), "rid")
