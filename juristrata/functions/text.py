@@ -231,3 +231,14 @@ def model_items(output: Column) -> Column:
         return F.coalesce(*lists, alone)
 
     return F.coalesce(unwrap(whole), unwrap(inner))
+
+
+def display_label(name: Column, size: int = 25) -> Column:
+    """A short label for drawing: without the file mark, cut with an ellipsis."""
+    plain = F.replace(name, F.lit(".xml_"), F.lit(" s."))
+    return F.when(F.length(plain) > size, F.concat(F.left(plain, F.lit(size - 3)), F.lit("..."))).otherwise(plain)
+
+
+def titled_embedding_text(title: Column, section: Column, content: Column, size: int = 512) -> Column:
+    """The older form of the embedded text: title, section and the last body, as far as they are known."""
+    return F.left(F.concat_ws(" ", blank_to_null(title), blank_to_null(section), blank_to_null(last_body(content))), F.lit(size))

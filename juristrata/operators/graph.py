@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from juristrata.functions.text import blank_to_null, clean_heading, id_prefix, node_type, normalize_action, snippet, strip
+from juristrata.functions.text import clean_heading, display_label, id_prefix, node_type, normalize_action, snippet, strip
 
 EDGE_KEY = ["source_id", "action_type", "target"]
 
@@ -176,6 +176,18 @@ def display_nodes(edge_rows: DataFrame) -> DataFrame:
     return ends.groupBy("name", "role").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def display_edges(edge_rows: DataFrame) -> DataFrame:
+    """(source, target, action_type, weight) with shortened labels, for drawing."""
+    return edge_rows.select(display_label(F.col("source_id")).alias("source"), display_label(F.col("target")).alias("target"), "action_type", F.round("confidence", 2).alias("weight"))
+
+
+def save_edges(edge_rows: DataFrame, path: str) -> None:
+    """Write edges so that both kinds of lookup skip data: files ranged by source, rows sorted by source and target, and a
+    Bloom filter on targets."""
+    ranged = edge_rows.repartitionByRange("source_id").sortWithinPartitions("source_id", "target")
+    ranged.write.mode("overwrite").option("parquet.bloom.filter.enabled#target", "true").parquet(path)
+
+
 def schema_profile(node_rows: DataFrame, edge_rows: DataFrame, links: DataFrame) -> DataFrame:
     """What the graph holds, in long form (kind, name, value)."""
     one = lambda df, kind: df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(kind).alias("kind"), F.lit("all").alias("name"), "value")

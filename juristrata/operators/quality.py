@@ -81,3 +81,27 @@ def vague(triples: DataFrame, citation: str, least: int = 15) -> DataFrame:
 
 def budget(chunks: DataFrame, size: int = 5000) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("chunks")).select("chunks", (F.lit(size) - F.col("chunks")).alias("left"))
+
+
+def size_stats(files: DataFrame, by: str, size: str = "size") -> DataFrame:
+    """Files and their sizes of each kind: number, total, smallest, largest, mean."""
+    return files.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("total"), F.min(size).alias("smallest"), F.max(size).alias("largest"), F.round(F.avg(size), 3).alias("mean"))
+
+
+def xml_report(files: DataFrame, errors: DataFrame, by: str) -> DataFrame:
+    """Valid and broken files of each folder, and their bytes; files: (file, content, folder), errors: (file, error)."""
+    marked = files.select("file", by, F.octet_length("content").alias("bytes")).join(errors.select("file", F.lit(True).alias("broken")), "file", "left")
+    return marked.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.count_if("broken").alias("broken"), F.sum("bytes").alias("bytes"))
+
+
+def throughput(done: DataFrame, total: int, hour: str = "1 hour") -> DataFrame:
+    """Items done in each window of time, the running total, and how many windows the rest would take at that pace."""
+    per = done.groupBy(F.window("ts", hour).getField("start").alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("start"))  # one row a window
+    return per.withColumn("upto", upto).withColumn("windows_left", F.ceil((F.lit(total) - F.col("upto")) / F.col("n")))
+
+
+def sample_per_value(rows: DataFrame, key: str, order: str, seed: int = 42, n: int = 1) -> DataFrame:
+    """n pseudo-random rows of each value, the same ones each time."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(order).cast("string"))), order))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")

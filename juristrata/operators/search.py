@@ -103,3 +103,12 @@ def semantic_search(index: DataFrame, chunks: DataFrame, query: list[float], k:
     last = chunks.join(F.broadcast(hits.select(F.col("node_id").alias("id"))), "id", "left_semi").groupBy("id").agg(F.max_by(F.struct("doc_title", "heading", "content"), "seq").alias("c"))
     found = hits.select("pos", F.col("node_id").alias("id"), "similarity").join(last, "id", "left")
     return found.select("pos", "id", "similarity", "c.doc_title", F.coalesce(clean_heading(F.col("c.heading")), F.lit("")).alias("heading"), F.left(F.coalesce(body(F.col("c.content")), F.lit("")), F.lit(500)).alias("text"))
+
+
+def save_index(index: DataFrame, path: str, rows_per_file: int = 500_000) -> None:
+    """Write an index sorted by position inside its files, so that a lookup by position skips row groups."""
+    index.sortWithinPartitions("pos").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
+def load_index(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -376,6 +376,19 @@ def viz_nodes(i):
     return graph.display_nodes(i.edges)
 
 
+@query(sql_with("""SELECT CASE WHEN length(s) > 25 THEN left(s, 22) || '...' ELSE s END AS source, CASE WHEN length(target) > 25 THEN left(target, 22) || '...' ELSE target END AS target, action_type, times_seen
+    FROM (SELECT replace(source_id, '.xml_', ' s.') AS s, target, action_type, times_seen FROM edges)""", "edges"))
+def viz_edges(i):
+    rows = graph.display_edges(i.edges.withColumn("confidence", F.col("times_seen").cast("double")))
+    return rows.select("source", "target", "action_type", F.col("weight").cast("long").alias("times_seen"))
+
+
+@query(sql_with("""SELECT source_id, chunk, action_type, target, count(*) AS times_seen FROM (SELECT *, source_id || '#' || (seq % 2)::VARCHAR AS chunk FROM t) GROUP BY ALL""", "t"))
+def edges_by_chunk(i):
+    rows = i.t.withColumn("chunk_id", F.concat("source_id", F.lit("#"), (F.col("seq") % 2).cast("string")))
+    return graph.edges(rows, by="chunk").select("source_id", F.col("chunk_id").alias("chunk"), "action_type", "target", "times_seen")
+
+
 # Corpus
 
 @query(sql_with("""SELECT c.seq, left(arg_min(n.text, n.ord), 500) AS notes_text FROM chunks c LEFT JOIN (
@@ -479,6 +492,45 @@ def consecutive_miss_cut(i):
     return corpus.cut_after_misses(i.table("orders").selectExpr("o_custkey AS g", "o_orderkey AS n", "o_orderstatus <> 'F' AS hit"), "g", 2)
 
 
+@query("SELECT lang, count(*) AS files, sum(n_chars) AS total, min(n_chars) AS smallest, max(n_chars) AS largest, round(avg(n_chars), 3) AS mean FROM documents GROUP BY lang")
+def file_sizes(i):
+    return quality.size_stats(i.table("documents"), "lang", "n_chars")
+
+
+@query("""SELECT start, n, upto, ceil((1000000 - upto) / n)::BIGINT AS windows_left FROM (SELECT *, sum(n) OVER (ORDER BY start) AS upto FROM (SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, count(*) AS n FROM events GROUP BY 1))""")
+def throughput(i):
+    rows = quality.throughput(i.table("events").select(F.col("ts").cast("timestamp").alias("ts")), 1_000_000, "1 day")
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n", "upto", "windows_left")
+
+
+@query("SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) = 1")
+def sample_per_source(i):
+    return quality.sample_per_value(i.table("documents").select("source", "doc_id"), "source", "doc_id")
+
+
+@query(sql_with("SELECT count(*) AS chunks, 5000 - count(*) AS \"left\" FROM chunks", "chunks"))
+def chunk_budget(i):
+    return quality.budget(i.chunks)
+
+
+@query(sql_with("SELECT id, seq FROM own_chunks WHERE id NOT IN (SELECT id FROM own_chunks WHERE seq % 97 = 0)", "own_chunks"))
+def resume_by_ledger(i):
+    return accumulate.unprocessed(i.own_chunks, i.own_chunks.where("seq % 97 = 0")).select("id", "seq")
+
+
+@query(sql_with("SELECT source_id, action_type, target, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS times_seen FROM t JOIN events ON event_id = seq GROUP BY ALL", "t"))
+def windowed_edges(i):
+    """Edges by event-time day, the batch form of the watermarked stream."""
+    rows = i.t.join(i.table("events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts")), "seq")
+    found = accumulate.windowed_edges(rows)
+    return found.select("source_id", "action_type", "target", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "times_seen")
+
+
+@query(sql_with(r"""SELECT seq, left(concat_ws(' ', 'Document ' || doc_id::VARCHAR, section, nullif(regexp_replace(line, '^\s+|\s+$', '', 'g'), '')), 512) AS body FROM chunks""", "chunks"))
+def titled_texts(i):
+    return i.chunks.select("seq", P.titled_embedding_text(F.col("doc_title"), F.col("section"), F.col("content")).alias("body"))
+
+
 @query()
 def parse_pages(i):
     return xml.pages_text(i.table("pages"))

@@ -119,3 +119,14 @@ def manifest(reg: DataFrame, **counts: int) -> DataFrame:
 def spans(spark: SparkSession, path: str, schema: str, trace_id: str | None = None) -> DataFrame:
     rows = read_json(spark, path, schema)
     return rows.where(F.col("trace_id") == trace_id) if trace_id else rows
+
+
+def new_notes(wanted: DataFrame, contents: DataFrame, least: int = 500) -> DataFrame:
+    """Explanatory notes worth keeping: those of acts, of more than `least` bytes."""
+    return wanted.where(family() == "act").join(contents.where(F.octet_length("content") > least), "uri")
+
+
+def attempts_won(probes: DataFrame) -> DataFrame:
+    """The first successful attempt of each probed case: probes with a boolean hit."""
+    won = probes.where("hit").groupBy("court", "year", "n").agg(F.min_by("uri", "attempt").alias("uri"))
+    return probes.select("court", "year", "n").distinct().join(won, ["court", "year", "n"], "left")

@@ -231,6 +231,25 @@ def legislation_chunks(files: DataFrame, qualify_schedule_ids: bool = False) ->
     )
 
 
+def first_corpus_rows(doc: Doc) -> Iterator[dict]:
+    """The older corpus: one row for each P1 with the text of its paragraphs, numbered in the file; or each judgment
+    paragraph; with the date of the judgment."""
+    date = doc.first("FRBRdate")
+    shared = {"title": doc.text(doc.first("Title")) or None, "date": date.get("date") if date is not None else None}
+    for node in doc.all("P1", "paragraph"):
+        inner = [doc.text(n) for n in doc.all("P1para", below=node)]
+        yield shared | {"text": " ".join(t for t in inner if t) or doc.text(node)}
+
+
+FIRST_CORPUS = "title string, date string, text string"
+
+
+def first_corpus(files: DataFrame, least: int = 20) -> DataFrame:
+    """(id, doc_title, date, content) in the older form, with ids file.xml_s1, file.xml_s2, ..."""
+    raw = parse(files, first_corpus_rows, FIRST_CORPUS).where("error IS NULL").where(F.length("text") >= least)
+    return raw.select(F.concat("file", F.lit(".xml_s"), (F.col("ord") + 1).cast("string")).alias("id"), F.coalesce("title", "file").alias("doc_title"), "date", F.col("text").alias("content"))
+
+
 def judgment_chunks(files: DataFrame) -> DataFrame:
     """One chunk for each paragraph of at least 30 characters, or one of the whole text if that is over 50."""
     raw = parse(files, judgment_rows, JUDGMENT).where("error IS NULL").where("(kind = 'paragraph' AND length(text) >= 30) OR (kind = 'full' AND length(text) > 50)")

@@ -96,3 +96,9 @@ def test_union_numbers_sources_in_order(spark, folder):
     cases = xml.judgment_chunks(files.where("file LIKE 'ewhc%'"))
     got = corpus.union_sources(laws.repartition(3), cases).orderBy("seq").collect()
     assert [r["seq"] for r in got] == list(range(7)) and [r["source"] for r in got] == ["legislation"] * 5 + ["judgment"] * 2
+
+
+def test_first_corpus(spark, folder):
+    files = xml.read_files(spark, folder(ukpga_2024_2=ACT, ewhc_1=CASE))
+    got = {r["id"]: r["content"][:15] for r in xml.first_corpus(files).collect()}
+    assert got["ukpga_2024_2.xml_s1"] == "In the Gadgets " and "ewhc_1.xml_s2" in got and "ewhc_1.xml_s1" not in got
