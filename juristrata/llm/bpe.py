@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE = 300_000
-WORDS = 400_000
-PAIRS = 500_000
+from juristrata.llm.common import small_batches
+
+CACHE = 200_000
+WORDS = 250_000
+PAIRS = 200_000
 """What a worker keeps at most between batches: pieces, words, pairs of tokens."""
 NEVER = 1 << 60
 LATIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u00ff]+")
@@ -240,21 +242,20 @@ def encoder(path: str) -> TrieEncoder:
 SCHEMA = "n_tokens long, ids binary, decoded string"
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", batch: int = 512) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (the ids decoded again)."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         enc = encoder(path)
-        for rb in batches:
-            for at in range(0, rb.num_rows, batch):
-                part = rb.slice(at, batch)
-                got = list(enc.encode_batch(part.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([i for i, _ in got], pa.binary()), pa.array([s for _, s in got], pa.string())],
-                    names=["doc_id", "n_tokens", "ids", "decoded"],
-                )
+        for part in batches:
+            got = list(enc.encode_batch(part.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([i for i, _ in got], pa.binary()), pa.array([s for _, s in got], pa.string())],
+                names=["doc_id", "n_tokens", "ids", "decoded"],
+            )
 
     return narrow.mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
 

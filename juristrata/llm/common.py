@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,29 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH_ROWS, BATCH_BYTES = "512", "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python in Arrow batches of a few megabytes. The defaults (10,000 rows, 64 MB) cost each
+    task several hundred megabytes outside the heap where texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def gathered(batches, rows: int):
+    """Arrow batches joined until they have at least so many rows."""
+    held, n = [], 0
+    for rb in batches:
+        held.append(rb)
+        n += rb.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
@@ -83,3 +107,23 @@ def pass_filter(rows: DataFrame, key: Column, filter_rows: DataFrame, words: int
     slotted = rows.withColumn("_slot", F.pmod(key, F.lit(words * 64)))
     joined = slotted.withColumn("_word", F.expr("cast(_slot div 64 AS int)")).join(F.broadcast(filter_rows.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))), "_word")
     return joined.where(F.expr("getbit(_bits, cast(_slot % 64 AS int)) = 1")).drop("_slot", "_word", "_bits")
+
+
+def rows_that_stay(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, more) that judged (doc_id, text_hash, stays; one row for each) lets stay.
+
+    Rows are found again by id and text. Only those that a fixed-size bitmap may count among the leaving ones are
+    shuffled; all others pass straight through. Of rows that occur again with the same id and text one stays."""
+    found = judged.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).agg(F.bool_or("stays").alias("_stays"), F.count(F.lit(1)).alias("_n"))
+    found = materialize(found.where("NOT _stays OR _n > 1"), "leaving")
+    bits = bitmap_filter(found, "_th").select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+    slot = F.pmod(F.xxhash64(docs["text"]), F.lit(FILTER_WORDS * 64))
+    marked = docs.withColumn("_slot", slot).withColumn("_word", F.expr("cast(_slot div 64 AS int)")).join(F.broadcast(bits), "_word", "left")
+    hit = F.coalesce(F.expr("getbit(_bits, cast(_slot % 64 AS int)) = 1"), F.lit(False))
+    clear, doubted = (marked.where(c).select(*[docs[c] for c in docs.columns]) for c in (~hit, hit))
+    same = (F.xxhash64(doubted["text"]) == found["_th"]) & doubted["doc_id"].eqNullSafe(found["_id"])
+    kept = clear.unionByName(doubted.join(found, same, "left_anti"))
+    again = found.where("_stays")
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(doubted.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -17,12 +17,13 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juristrata.llm.common import per_class_sample
+from juristrata.llm.common import per_class_sample, small_batches
 
 DIM = 1 << 13
 PER_LANGUAGE = 500
@@ -142,6 +143,7 @@ class Model:
 
 def train(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Model | None:
     """Fit on rows where `learn` holds, whose language and text are not null."""
+    small_batches(docs.sparkSession)
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
     ids = per_class_sample(rows, "lang", F.struct(F.xxhash64("id", F.lit(8)), "id"), per_language)
     picked = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(ids.dropDuplicates(["id", "lang"])), ["id", "lang"], "left_semi").where(F.col("text").isNotNull())
@@ -165,19 +167,21 @@ def train(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str =
     return Model(x, [g[0] for g in got], np.array([g[3] % 3 == 0 for g in got]))
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """For each row: doc_id, lang_pred, score; with keep, these columns of the row too, under a struct `row`."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*keep).alias("row")] if keep else []))
-    kinds = [f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}", "lang_pred string, score double"] + ([f"row {narrow.schema['row'].dataType.simpleString()}"] if keep else [])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def judge(spark: SparkSession, model: Model | None, text: Column) -> Column:
+    """A struct (lang_pred, score) for a text column; only the text goes to the workers."""
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches):
+    @F.pandas_udf("lang_pred string, score double")
+    def run(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        for rb in batches:
-            out = [m.predict(features(t)) if m and t and LETTER.search(t) else ("und", 0.0) for t in rb.column(1).to_pylist()]
-            columns = {"doc_id": rb.column(0), "lang_pred": pa.array([a for a, _ in out], pa.string()), "score": pa.array([float(s) for _, s in out], pa.float64())}
-            if rb.num_columns == 3:
-                columns["row"] = rb.column(2)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        out = [m.predict(features(t)) if m and t and LETTER.search(t) else ("und", 0.0) for t in texts]
+        return pd.DataFrame(out, columns=["lang_pred", "score"])
+
+    return run(text)
+
 
-    return narrow.mapInArrow(run, ", ".join(kinds))
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row: doc_id, lang_pred, score."""
+    judged = docs.select(F.col(id_col).alias("doc_id"), judge(docs.sparkSession, model, F.col(text_col)).alias("_lang"))
+    return judged.select("doc_id", "_lang.lang_pred", "_lang.score")

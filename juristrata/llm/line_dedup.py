@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from juristrata.llm.common import materialize
+from juristrata.llm.common import materialize, small_batches
 
 BLOCK_BYTES = 1 << 16
 MAX_BITS = 1 << 27
@@ -131,6 +131,7 @@ def suspects(docs: DataFrame, field, bits: int, min_chars: int) -> DataFrame:
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, id_col: str = "doc_id", text_col: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """For each row: doc_id, text (the lines that stay, joined by newlines), n_lines, n_dropped."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     lines = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
     bits = min(MAX_BITS, max(8 * BLOCK_BYTES, 1 << int(np.ceil(np.log2(12 * lines)))))

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from juristrata.llm.common import per_class_sample
+from juristrata.llm.common import per_class_sample, small_batches
 
 PER_CLASS = 2500
 CLASS_BYTES = 12_000_000
@@ -113,6 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "q
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: doc_id, score."""
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
