@@ -18,21 +18,23 @@ repeated rows are learnt from as often as they occur.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from juristrata.llm.common import materialize
+from juristrata.llm.common import gathered, materialize, small_batches
 
 HEAD = 1 << 15
 STATES = 6
 ROUNDS = 3
-LANES = 128
+LANES = 512
 TEXTS = 4096
 """Recursions that run side by side; texts of which lanes of similar length are made."""
-LONGEST = 1 << 12
+LONGEST = 1 << 10
 """Steps of the recursion whose arrays are held at once; longer texts go through in pieces, with the state carried over."""
 END, REST = 0, 1
 ADD, BLEND = 0.1, 0.1
@@ -48,7 +50,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all rows of docs, pre-aggregated in each task."""
 
     def run(batches):
-        held: dict[bytes, int] = {}
+        held: Counter[bytes] = Counter()
 
         def handed():
             out = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
@@ -57,8 +59,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         for rb in batches:
             for text in rb.column(0).to_pylist():
-                for w in words(text):
-                    held[w] = held.get(w, 0) + 1
+                held.update(words(text))
                 if len(held) > HELD:
                     yield handed()
         yield handed()
@@ -85,9 +86,6 @@ class Model:
         self.emit = self.unigram[:, None] * rng.uniform(0.3, 1.7, (len(known), k))
         self.emit /= self.emit.sum(0)
 
-    def index(self) -> dict[bytes, int]:
-        return {w: i + 2 for i, w in enumerate(self.head)}
-
     def update(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
         """The maximisation step on expected counts, the emissions blended with the unigram."""
         self.start = (start + 1) / (start + 1).sum()
@@ -115,22 +113,28 @@ def _grid(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return grid, alive
 
 
+def _seen(grid: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """Emission probabilities as (steps, states, lanes), lanes side by side in memory."""
+    out = np.empty((grid.shape[0], emit.shape[1], grid.shape[1]))
+    for j in range(emit.shape[1]):
+        out[:, j] = np.ascontiguousarray(emit[:, j])[grid]
+    return out
+
+
 def likelihoods(codes: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """Natural log-likelihood of each code sequence by the scaled forward recursion."""
-    out = np.zeros(len(codes))
+    out, onward = np.zeros(len(codes)), np.ascontiguousarray(move.T)
     for order in _batches(codes):
         rows = [codes[i] for i in order]
         total, a = np.zeros(len(rows)), None
         for at in range(0, len(rows[0]), LONGEST):
             part = [r[at : at + LONGEST] for r in rows if len(r) > at]
             grid, alive = _grid(part)
-            seen = emit[grid] if grid.size * len(start) < 1 << 24 else None
-            scale = np.ones(grid.shape)
+            seen, scale = _seen(grid, emit), np.ones(grid.shape)
             for t, n in enumerate(alive):
-                b = seen[t, :n] if seen is not None else emit[grid[t, :n]]
-                a = b * start if a is None else (a[:n] @ move) * b
-                c = a.sum(1)
-                a = a / c[:, None]
+                a = seen[t, :, :n] * start[:, None] if a is None else (onward @ a[:, :n]) * seen[t, :, :n]
+                c = a.sum(0)
+                a /= c
                 scale[t, :n] = c
             total[: len(part)] += np.log(scale).sum(0)
         out[order] = total
@@ -138,86 +142,105 @@ def likelihoods(codes: list[np.ndarray], start: np.ndarray, move: np.ndarray, em
 
 
 def expectations(codes: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-    """Expected counts (start, move, symbol -> states) of the sequences, by scaled forward and backward recursions.
+    """Expected counts (start, move, symbols x states) of the sequences, by scaled forward and backward recursions.
 
     A text longer than LONGEST goes through in pieces: forward states are carried over, and backward each piece begins
     anew, which changes the counts at the seams only.
     """
-    k = len(start)
-    first, moves, where, gammas = np.zeros(k), np.zeros((k, k)), [], []
+    k, onward = len(start), np.ascontiguousarray(move.T)
+    first, moves, found = np.zeros(k), np.zeros((k, k)), np.zeros(emit.shape)
     for order in _batches(codes):
         rows, carried = [codes[i] for i in order], None
         for at in range(0, len(rows[0]), LONGEST):
             grid, alive = _grid([r[at : at + LONGEST] for r in rows if len(r) > at])
             steps, lanes = grid.shape
-            seen = emit[grid]
-            alpha, scale = np.zeros((steps, lanes, k)), np.ones((steps, lanes))
+            seen = _seen(grid, emit)
+            alpha, scale = np.zeros((steps, k, lanes)), np.ones((steps, lanes))
+            before = carried
             for t, n in enumerate(alive):
-                before = alpha[t - 1, :n] if t else carried[:n] if carried is not None else None
-                a = seen[t, :n] * (start if before is None else before @ move)
-                c = a.sum(1)
-                alpha[t, :n], scale[t, :n] = a / c[:, None], c
-            beta = np.ones((lanes, k))
-            gamma = np.zeros((steps, lanes, k))
-            weighted = np.zeros((steps, lanes, k))
+                a = seen[t, :, :n] * start[:, None] if before is None else (onward @ before[:, :n]) * seen[t, :, :n]
+                c = a.sum(0)
+                a /= c
+                alpha[t, :, :n], scale[t, :n], before = a, c, a
+            beta = np.ones((k, lanes))
             for t in range(steps - 1, -1, -1):
                 n = alive[t]
-                gamma[t, :n] = alpha[t, :n] * beta[:n]
-                weighted[t, :n] = seen[t, :n] * beta[:n] / scale[t, :n, None]
-                beta[:n] = weighted[t, :n] @ move.T
-            live = np.arange(lanes)[None, :] < alive[:, None]
+                weighted = seen[t, :, :n] * beta[:, :n]
+                weighted /= scale[t, :n]
+                seen[t, :, :n] = alpha[t, :, :n] * beta[:, :n]  # from here on the chances of the states
+                seen[t, :, n:] = 0
+                if t:
+                    moves += alpha[t - 1, :, :n] @ weighted.T
+                beta[:, :n] = move @ weighted
             if carried is None:
-                first += gamma[0, : alive[0]].sum(0)
-            both = live[1:]
-            moves += move * (alpha[:-1][both].T @ weighted[1:][both])
-            where.append(grid[live])
-            gammas.append(gamma[live])
-            carried = alpha[-1].copy()
-    if not where:
-        return first, moves, np.empty(0, np.int64), np.empty((0, k))
-    at, inverse = np.unique(np.concatenate(where), return_inverse=True)
-    g = np.concatenate(gammas)
-    return first, moves, at, np.column_stack([np.bincount(inverse, g[:, j], len(at)) for j in range(k)])
+                first += seen[0].sum(1)
+            flat = grid.ravel()
+            for j in range(k):
+                found[:, j] += np.bincount(flat, seen[:, j].ravel(), len(emit))
+            carried = before
+    return first, moves * move, found
+
+
+def encode(docs: DataFrame, head: list[bytes]) -> DataFrame:
+    """(rid, doc_id, learn, codes, rare) of each row of docs (doc_id, text, learn): the text's symbols, the end among
+    them, as 32-bit integers, and the words that have no symbol of their own, with their counts."""
+    index = docs.sparkSession.sparkContext.broadcast(head)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def run(batches):
+        get = {w: i + 2 for i, w in enumerate(index.value)}.get
+        for rb in batches:
+            codes, rare = [], []
+            for text in rb.column(2).to_pylist():
+                found = words(text)
+                c = np.fromiter(map(get, found, repeat(REST)), np.int32, len(found))
+                codes.append(np.append(c, np.int32(END)).tobytes())
+                rare.append(list(Counter([found[i] for i in np.flatnonzero(c == REST)]).items()))
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), rb.column(3), pa.array(codes, pa.binary()), pa.array(rare, pa.map_(pa.binary(), pa.int64()))], names=["rid", "doc_id", "learn", "codes", "rare"])
 
-def _encode(text: str | None, index: dict[bytes, int]) -> np.ndarray:
-    found = words(text)
-    return np.fromiter((index.get(w, REST) for w in [*found]), np.int32, len(found)) if found else np.empty(0, np.int32)
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "learn")
+    return rows.mapInArrow(run, f"rid long, doc_id {kind}, learn boolean, codes binary, rare map<binary,bigint>")
 
 
-def _with_end(codes: np.ndarray) -> np.ndarray:
-    return np.append(codes, np.int32(END))
+def _symbols(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.int32) for b in column.to_pylist()]
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """The model learnt from all rows of docs (doc_id, text), and the table (word, n) of all word counts."""
-    spark = docs.sparkSession
-    counts = materialize(count_words(docs), "word-counts")
+def score_corpus(docs: DataFrame, learn: Column, rounds: int = ROUNDS, head: int = HEAD) -> DataFrame:
+    """Learn from the rows of docs (doc_id, text) where learn holds, and score all rows: doc_id, n_tokens, n_known,
+    train_tokens, base_score, score (log10)."""
+    small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text", learn.alias("learn"))
+    counts = materialize(count_words(docs.where("learn")), "word-counts")
     n_words, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    n_docs = docs.count()
+    n_docs = docs.where("learn").count()
     top = counts.orderBy(F.desc("n"), "word").limit(head).collect()
     model = Model([bytes(r[0]) for r in top], [r[1] for r in top], (n_words or 0) + n_docs, distinct + (1 if n_docs else 0), n_docs)
-    index = spark.sparkContext.broadcast(model.head)
-    for _ in range(rounds if n_docs else 0):
+    codes = materialize(encode(docs, model.head), "hmm-codes")
+    if n_docs:
+        baum_welch(codes.where("learn"), model, rounds)
+    return score(codes, model, counts)
+
+
+def baum_welch(codes: DataFrame, model: Model, rounds: int) -> None:
+    """Fit the model to all rows of codes, whose expected counts are summed over tasks and then over the cluster."""
+    spark, k = codes.sparkSession, len(model.start)
+    for _ in range(rounds):
         shared = spark.sparkContext.broadcast((model.start, model.move, model.emit.astype(np.float32)))
-        k = len(model.start)
-
-        def run(batches, shared=shared, k=k):
-            (start, move, emit), lookup = shared.value, _lookup(index)
-            held = np.zeros((len(emit), k))
-            first, moves = np.zeros(k), np.zeros((k, k))
-            for rb in batches:
-                texts = rb.column(0).to_pylist()
-                for lo in range(0, len(texts), TEXTS):
-                    f, m, at, e = expectations([_with_end(_encode(t, lookup)) for t in texts[lo : lo + TEXTS]], start, move, emit)
-                    first, moves = first + f, moves + m
-                    held[at] += e
+
+        def run(batches, shared=shared):
+            start, move, emit = shared.value
+            held, first, moves = np.zeros((len(emit), k)), np.zeros(k), np.zeros((k, k))
+            for rb in gathered(batches, TEXTS):
+                f, m, e = expectations(_symbols(rb.column(0)), start, move, emit)
+                first, moves = first + f, moves + m
+                held += e
             at = np.flatnonzero(held.any(1))
-            yield from _counted(at, held[at].astype(np.float32), k)
+            yield from _counted(at, held[at], k)
             yield from _counted(np.array([-1]), first[None], k)
             yield from _counted(-2 - np.arange(k), moves, k)
 
-        sums = docs.select("text").mapInArrow(run, "symbol int, " + ", ".join(f"s{j} double" for j in range(k))).groupBy("symbol").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(k)))
+        sums = codes.select("codes").mapInArrow(run, "symbol int, " + ", ".join(f"s{j} double" for j in range(k))).groupBy("symbol").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(k)))
         emit, first, moves = np.zeros((len(model.emit), k)), np.zeros(k), np.zeros((k, k))
         got = sums.toArrow()  # at most HEAD + STATES + 3 rows
         symbol, values = got.column(0).to_numpy(), np.column_stack([got.column(1 + j).to_numpy() for j in range(k)])
@@ -228,7 +251,6 @@ def train(docs: DataFrame, rounds: int = ROUNDS, head: int = HEAD) -> tuple[Mode
                 moves[-2 - s] += v
         model.update(first, moves, emit)
         shared.unpersist()
-    return model, counts
 
 
 def _counted(symbols: np.ndarray, values: np.ndarray, k: int):
@@ -236,54 +258,30 @@ def _counted(symbols: np.ndarray, values: np.ndarray, k: int):
         yield pa.RecordBatch.from_arrays([pa.array(symbols[lo : lo + 50_000], pa.int32())] + [pa.array(values[lo : lo + 50_000, j].astype(float), pa.float64()) for j in range(k)], names=["symbol", *(f"s{j}" for j in range(k))])
 
 
-_cache: dict[int, dict[bytes, int]] = {}
-
-
-def _lookup(index) -> dict[bytes, int]:
-    """The worker's word -> symbol table of a broadcast head, made once."""
-    if index.value is not _cache.get("head"):
-        _cache.clear()
-        _cache["head"], _cache["at"] = index.value, {w: i + 2 for i, w in enumerate(index.value)}
-    return _cache["at"]
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, n_tokens, n_known, base_score, score (log10)."""
-    spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    index = spark.sparkContext.broadcast(model.head)
-    shared = spark.sparkContext.broadcast((model.start, model.move, model.emit.astype(np.float32), np.log10(model.unigram), model.counts))
+def score(codes: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """For each row of codes: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+    spark = codes.sparkSession
+    kind = codes.schema["doc_id"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast((model.start, model.move, model.emit.astype(np.float32), np.log10(model.unigram)))
     has_end, rest = model.counts[END] > 0, math.log10(model.unigram[REST])
 
     def run(batches):
-        (start, move, emit, log_unigram, _), lookup = shared.value, _lookup(index)
-        for rb in batches:
-            ids, texts = rb.column(1), rb.column(2).to_pylist()
-            for lo in range(0, len(texts), TEXTS):
-                part = texts[lo : lo + TEXTS]
-                codes = [_with_end(_encode(t, lookup)) for t in part]
-                full = likelihoods(codes, start, move, emit) / math.log(10)
-                rare, base, known = [], [], []
-                for t, c in zip(part, codes, strict=True):
-                    inside = c[c != REST]
-                    base.append(float(log_unigram[inside].sum()))
-                    known.append(int((inside != END).sum()) + int(has_end))
-                    found: dict[bytes, int] = {}
-                    if len(inside) < len(c):
-                        for w in words(t):
-                            if w not in lookup:
-                                found[w] = found.get(w, 0) + 1
-                    rare.append(list(found.items()))
-                yield pa.RecordBatch.from_arrays(
-                    [rb.column(0).slice(lo, len(part)), ids.slice(lo, len(part)), pa.array([len(c) for c in codes], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64()), pa.array(rare, pa.map_(pa.binary(), pa.int64()))],
-                    names=["rid", "doc_id", "n_tokens", "n_known", "base", "full", "rare"],
-                )
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text").mapInArrow(run, f"rid long, doc_id {kind}, n_tokens long, n_known long, base double, full double, rare map<binary,bigint>")
-    rows = materialize(rows, "hmm-rows")
-    words_of = rows.select("rid", F.explode("rare").alias("word", "times"))
-    # How often each rare word occurs in the learning rows: the few frequent ones meet their counts split over salts.
-    found = words_of.join(counts, "word", "left")
+        start, move, emit, log_unigram = shared.value
+        for rb in gathered(batches, TEXTS):
+            rows = _symbols(rb.column(2))
+            full = likelihoods(rows, start, move, emit) / math.log(10)
+            inside = [c[c != REST] for c in rows]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rb.column(0), rb.column(1), pa.array([len(c) for c in rows], pa.int64()), pa.array([len(c) - 1 + int(has_end) for c in inside], pa.int64()),
+                    pa.array([float(log_unigram[c].sum()) for c in inside], pa.float64()), pa.array(full, pa.float64()),
+                ],
+                names=["rid", "doc_id", "n_tokens", "n_known", "base", "full"],
+            )
+
+    rows = codes.select("rid", "doc_id", "codes").mapInArrow(run, f"rid long, doc_id {kind}, n_tokens long, n_known long, base double, full double")
+    # Rare words meet their counts by word; each is rare, so no key holds many rows. Then one row a text, pre-aggregated.
+    found = codes.select("rid", F.explode("rare").alias("word", "times")).join(counts, "word", "left")
     log_n = F.log10((F.coalesce("n", F.lit(0)) + ADD) / F.lit(model.total))
     tail = found.groupBy("rid").agg(F.sum(F.col("times") * log_n).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum("times").alias("rare_tokens"))
     more = lambda c: F.coalesce(c, F.lit(0))
