@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,28 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+FAN_IN = 64
+
+
+def folded(blocks: DataFrame, merge: Callable[[list[tuple]], tuple], partitions: int) -> DataFrame:
+    """Merge pieces (block, task, parts...) of many tasks into one row for each block.
+
+    merge takes the parts of several pieces and gives those of one. At most FAN_IN pieces meet in a group, level by
+    level, so no task holds all pieces of a block however many tasks there were."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema.fields)
+
+    def fold(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(c.to_pylist() for c in table.columns), strict=True))
+        one = (*rows[0][:2], *merge([r[2:] for r in rows]))
+        return pa.table([pa.array([v], t) for v, t in zip(one, table.schema.types, strict=True)], names=table.column_names)
+
+    while True:
+        blocks = blocks.withColumn("task", F.expr(f"task div {FAN_IN}")).groupBy("block", "task").applyInArrow(fold, schema)
+        partitions = -(-partitions // FAN_IN)
+        if partitions <= 1:
+            return blocks
+
+
 BATCH_ROWS, BATCH_BYTES = "512", "8m"
 
 
@@ -75,8 +98,8 @@ def lower_ascii(col: Column) -> Column:
 
 
 def bucket_of(doc_id: Column | str, modulus: int) -> Column:
-    """crc32 of the id's decimal text, modulo; the split into learning and held-out rows. A null id counts as ''."""
-    return F.pmod(F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string")), F.lit(modulus))
+    """crc32 of the id's decimal text, modulo: the split into learning and held-out rows. Null for a null id."""
+    return F.pmod(F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")), F.lit(modulus))
 
 
 def held_out(modulus: int, remainder: int, doc_id: str = "doc_id") -> Column:
@@ -109,6 +132,16 @@ def pass_filter(rows: DataFrame, key: Column, filter_rows: DataFrame, words: int
     return joined.where(F.expr("getbit(_bits, cast(_slot % 64 AS int)) = 1")).drop("_slot", "_word", "_bits")
 
 
+def split_by_filter(rows: DataFrame, key: Column, filter_rows: DataFrame, words: int = FILTER_WORDS) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key the filter does not hold, and those whose key it may hold."""
+    bits = filter_rows.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+    slotted = rows.withColumn("_slot", F.pmod(key, F.lit(words * 64))).withColumn("_word", F.expr("cast(_slot div 64 AS int)"))
+    marked = slotted.join(F.broadcast(bits), "_word", "left")
+    hit = F.coalesce(F.expr("getbit(_bits, cast(_slot % 64 AS int)) = 1"), F.lit(False))
+    clear, doubted = (marked.where(c).select(*[rows[c] for c in rows.columns]) for c in (~hit, hit))
+    return clear, doubted
+
+
 def rows_that_stay(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, more) that judged (doc_id, text_hash, stays; one row for each) lets stay.
 
@@ -116,11 +149,7 @@ def rows_that_stay(docs: DataFrame, judged: DataFrame) -> DataFrame:
     shuffled; all others pass straight through. Of rows that occur again with the same id and text one stays."""
     found = judged.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).agg(F.bool_or("stays").alias("_stays"), F.count(F.lit(1)).alias("_n"))
     found = materialize(found.where("NOT _stays OR _n > 1"), "leaving")
-    bits = bitmap_filter(found, "_th").select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
-    slot = F.pmod(F.xxhash64(docs["text"]), F.lit(FILTER_WORDS * 64))
-    marked = docs.withColumn("_slot", slot).withColumn("_word", F.expr("cast(_slot div 64 AS int)")).join(F.broadcast(bits), "_word", "left")
-    hit = F.coalesce(F.expr("getbit(_bits, cast(_slot % 64 AS int)) = 1"), F.lit(False))
-    clear, doubted = (marked.where(c).select(*[docs[c] for c in docs.columns]) for c in (~hit, hit))
+    clear, doubted = split_by_filter(docs, F.xxhash64(docs["text"]), bitmap_filter(found, "_th"))
     same = (F.xxhash64(doubted["text"]) == found["_th"]) & doubted["doc_id"].eqNullSafe(found["_id"])
     kept = clear.unionByName(doubted.join(found, same, "left_anti"))
     again = found.where("_stays")

@@ -7,9 +7,10 @@ minima and maxima (4 values): at similarity 0.8 two sets miss all 32 bands with
 1. Equal sets fall into one class first (map-side pre-aggregation by set digest); only class representatives go on.
 2. In each bucket of a band every member is paired with the smallest one, its hub: links, not all pairs.
 3. Pairs are confirmed on the full sets: a hub's text and its members' texts meet in hub order, in salted parts.
-4. Connected components of the confirmed links. Buckets that still hold several components are not given up: all
-   their pairs across components, and only these, are confirmed too (refined by a second common band where a bucket
-   would give many), so no candidate link between different texts is lost.
+4. Connected components of the confirmed links. The members of buckets that still hold several components are not
+   given up: an exact prefix-filter join over their full sets finds every pair across components that can reach the
+   threshold, and these are confirmed too, so no candidate link between different texts is lost, and families of
+   texts just below the threshold do not give all their pairs.
 
 Defined cases: a null text, an empty one or one without words has no shingle and no link; fewer words than a shingle
 are one shingle; rows with equal sets are linked; repeated rows share a component; component_id is the smallest
@@ -19,23 +20,24 @@ doc_id (null ids do not count); an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from juristrata.llm.common import bitmap_filter, materialize, pass_filter
+from juristrata.llm.common import bitmap_filter, folded, materialize, pass_filter, rows_that_stay, small_batches, split_by_filter
 from juristrata.llm.components import connected_components
 
 PERMUTATIONS = 64
 BANDS = 32
-PAIRS_PER_ROW = 4
-"""Left-over pairs across components above this many times the rows are first refined by a second common band."""
+SKETCH_BLOCK = 1 << 16
 SALTED = 1000
 """Members of a hub that one part confirms."""
-WORDS = 300_000
+WORDS = 150_000
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(1, 1 << 32, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -108,14 +110,130 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return narrow.mapInArrow(run, f"rid long, doc_id {kind}, th long, n_shingles long, set_key binary, bands array<long>")
 
 
+def texts_of(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rid, text) of the rows of needed (rid, nid, nth). Only these texts, and a few more, leave the scan: a
+    fixed-size bitmap of their hashes picks them."""
+    found = pass_filter(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), F.col("th"), bitmap_filter(needed, "nth"))
+    return found.join(needed, (F.col("th") == F.col("nth")) & F.col("doc_id").eqNullSafe(F.col("nid"))).select("rid", "text")
+
+
+def _sketch(texts: DataFrame, slots: int, note, merge, finish) -> np.ndarray:
+    """Fold a fixed-size array over all rows: note(array, rows of a batch) in each task, merge(a, b) block by block."""
+
+    dtype = note(None, None).dtype
+
+    def run(batches):
+        field, task = note(None, None), TaskContext.get().partitionId()
+        for rb in batches:
+            note(field, rb)
+        for block in range(0, slots, SKETCH_BLOCK):
+            part = field[block : block + SKETCH_BLOCK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([task], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "task", "part"])
+
+    def fold(pieces: list[tuple[bytes]]) -> tuple[bytes]:
+        whole = np.zeros(SKETCH_BLOCK, dtype)
+        for (part,) in pieces:
+            whole = merge(whole, np.frombuffer(zlib.decompress(part), dtype))
+        return (zlib.compress(whole.astype(dtype).tobytes(), 1),)
+
+    blocks = texts.mapInArrow(run, "block long, task long, part binary")
+    out = finish(note(None, None))
+    for block, _, part in folded(blocks, fold, texts.rdd.getNumPartitions()).toLocalIterator():
+        out[block : block + SKETCH_BLOCK] = finish(np.frombuffer(zlib.decompress(part), dtype))
+    return out
+
+
+def prefix_pairs(left: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
+    """Pairs (u, v) of different roots among left (node, root) that may reach the threshold; none that does is missing.
+
+    Shingles have one order for all sets: by a frequency sketch, rarest first, then by hash (any fixed order is right,
+    this one is quick). If the smaller set has n and the larger m shingles, they must share a = ceil(s/(1+s) (n+m)), so
+    the first n - ceil(2s/(1+s) n) + 1 of the smaller and m - ceil(s m) + 1 of the larger have a common one, and at the
+    first such, at places i and j, 1 + min(n - i, m - j) >= a. Only shingles that nodes of several roots may have in
+    these parts become rows; sketches have a fixed bound, beyond which more shingles become rows.
+    """
+    needed = nodes.join(left, nodes["rid"] == left["node"]).select("rid", F.col("doc_id").alias("nid"), F.col("th").alias("nth"), "root", "n_shingles")
+    needed = materialize(needed, "left-over")
+    total = needed.agg(F.sum("n_shingles")).first()[0]
+    slots = min(1 << 23, max(SKETCH_BLOCK, 1 << int(2 * total).bit_length()))
+    texts = materialize(texts_of(needed.drop("root", "n_shingles"), docs).dropDuplicates(["rid"]).join(needed.select("rid", "root"), "rid"), "left-texts")
+    spark = docs.sparkSession
+    numerator, denominator = share
+    both = denominator + numerator
+
+    def slot(s: np.ndarray) -> np.ndarray:
+        return (s % np.uint64(slots)).astype(np.int64)
+
+    def count(field, rb):
+        if field is None:
+            return np.zeros(slots, np.uint16)
+        for text in rb.column(1).to_pylist():
+            at = np.unique(slot(shingles(text, size)))
+            field[at] += field[at] < 65535
+
+    counts = _sketch(texts, slots, count, lambda a, b: np.minimum(a.astype(np.uint32) + b, 65535).astype(np.uint16), lambda a: a.copy())
+    frequency = spark.sparkContext.broadcast(zlib.compress(counts.tobytes(), 1))
+
+    def heads(rb, known):
+        """(rid, root, n, shingles, places) of each row's part that counts; a slot that one node alone has is left out."""
+        for rid, text, root in zip(*(rb.column(i).to_pylist() for i in range(3)), strict=True):
+            s = shingles(text, size)
+            n = len(s)
+            c = known[slot(s)]
+            order = np.lexsort((s, c))[: n - -(-numerator * n // denominator) + 1]
+            keep = c[order] > 1
+            yield rid, root, n, s[order][keep], (np.flatnonzero(keep) + 1)
+
+    def tag(field, rb):
+        if field is None:
+            return np.zeros(slots, np.int32)
+        for _, root, _, s, _ in heads(rb, _sketched(frequency, np.uint16)):
+            at, mark = slot(s), np.int32((int(mix(np.array([root], np.uint64))[0]) >> 33) or 1)
+            field[at] = np.where((field[at] == 0) | (field[at] == mark), mark, -1)
+
+    def joined(a, b):
+        return np.where(a == 0, b, np.where((b == 0) | (a == b), a, np.int32(-1)))
+
+    several = _sketch(texts, slots, tag, joined, lambda a: (a == -1).astype(np.uint8))
+    shared = spark.sparkContext.broadcast(zlib.compress(several.tobytes(), 1))
+
+    def cut(batches):
+        for rb in batches:
+            open_slots = _sketched(shared, np.uint8)
+            for rid, root, n, s, place in heads(rb, _sketched(frequency, np.uint16)):
+                ok = open_slots[slot(s)] == 1
+                s, place = s[ok], place[ok]
+                full = lambda x: pa.array(np.full(len(s), x, np.int64))
+                yield pa.RecordBatch.from_arrays([full(rid), full(root), full(n), pa.array(s.view(np.int64)), pa.array(place)], names=["rid", "root", "n", "shingle", "place"])
+
+    placed = materialize(texts.mapInArrow(cut, "rid long, root long, n long, shingle long, place long"), "left-prefixes")
+    index = F.expr(f"n - (2 * {numerator} * n + {both - 1}) div {both} + 1")
+    small = placed.where(F.col("place") <= index).select("shingle", F.col("rid").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("place").alias("pu"))
+    large = placed.select("shingle", F.col("rid").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("place").alias("pv"))
+    fits = f"ru <> rv AND nu <= nv AND {denominator} * nu >= {numerator} * nv AND (1 + least(nu - pu, nv - pv)) * {both} >= {numerator} * (nu + nv)"
+    found = small.join(large, "shingle").where(fits)
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+_sketches: dict[tuple, np.ndarray] = {}
+
+
+def _sketched(shared, dtype) -> np.ndarray:
+    """A broadcast sketch, unpacked once in a worker; at most two are kept."""
+    key = (hash(shared.value), dtype)
+    if key not in _sketches:
+        while len(_sketches) > 1:
+            _sketches.pop(next(iter(_sketches)))
+        _sketches[key] = np.frombuffer(zlib.decompress(shared.value), dtype)
+    return _sketches[key]
+
+
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough. Texts of candidate rows only are shuffled: a fixed-size
-    bitmap of their hashes picks them in the scan."""
+    """The pairs (u, v) whose full sets are similar enough."""
     pairs = materialize(pairs.select("u", "v").distinct(), "pairs")
     needed = nodes.join(pairs.select(F.col("u").alias("rid")).union(pairs.select(F.col("v").alias("rid"))).distinct(), "rid", "left_semi").select("rid", F.col("doc_id").alias("nid"), F.col("th").alias("nth"))
-    needed = materialize(needed, "pair-nodes")
-    found = pass_filter(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), F.col("th"), bitmap_filter(needed, "nth"))
-    texts = found.join(needed, (F.col("th") == F.col("nth")) & F.col("doc_id").eqNullSafe(F.col("nid"))).select("rid", "text")
+    texts = texts_of(materialize(needed, "pair-nodes"), docs)
     hubs = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("parts"))
     members = pairs.join(hubs, "v").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int")).select(F.col("u").alias("rid"), "v", "part", F.lit(1).alias("role"))
     firsts = hubs.select(F.col("v").alias("rid"), "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
@@ -142,31 +260,29 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, shar
 
 def near_dedup(docs: DataFrame, shingle_words: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: doc_id, n_shingles, component_id, kept, and first_row (true for one row of each component)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(signatures(docs, shingle_words), "signatures")
     classes = materialize(rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("_first")).select("set_key", "node", "low_id", F.col("_first.rid").alias("first_rid")), "classes")
-    nodes = rows.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi")
+    # One row of each class represents it. The others are few, so they are what is looked up; the bands stay in place.
+    others = rows.select("set_key", "rid").join(classes.select("set_key", "node"), "set_key").where("rid <> node").select(F.xxhash64("rid").alias("h"), F.col("rid").alias("other"))
+    others = materialize(others, "represented")
+    clear, doubted = split_by_filter(rows.where("n_shingles > 0"), F.xxhash64("rid"), bitmap_filter(others, "h"))
+    nodes = clear.unionByName(doubted.join(others, doubted["rid"] == others["other"], "left_anti"))
     buckets = nodes.select(F.col("rid").alias("node"), F.explode("bands").alias("key"))
     shared = materialize(buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = materialize(buckets.join(shared, "key"), "members")
+    # Most keys are alone: a fixed-size bitmap of the shared ones keeps the rest out of the join's shuffle.
+    members = materialize(pass_filter(buckets, F.col("key"), bitmap_filter(shared, "key")).join(shared, "key"), "members")
     tested = members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
     links = materialize(confirm(tested, nodes, docs, shingle_words, share), "links")
     roots = connected_components(links)
-    # Pairs across components that remain in buckets of more than two members, apart from those with the hub.
+    # Members, other than hubs, of buckets of more than two that still hold several components.
     labelled = members.where("n > 2 AND node <> hub").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    groups = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"))
-    open_keys = groups.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), (F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("twice")).where("roots > 1")
-    open_keys = materialize(open_keys, "open-buckets")
-    total = open_keys.agg(F.sum("twice")).first()[0]
-    if total:
-        left = labelled.join(open_keys.select("key"), "key", "left_semi").distinct()
-        if total > 2 * PAIRS_PER_ROW * rows.count():
-            other = nodes.select(F.col("rid").alias("node"), F.explode("bands").alias("second"))
-            left = left.join(other, "node").where("key < second").select(F.xxhash64("key", "second").alias("key"), "node", "root")
-        left = materialize(left, "left-over")
-        a, b = left.select("key", F.col("node").alias("u"), F.col("root").alias("ru")), left.select("key", F.col("node").alias("v"), F.col("root").alias("rv"))
-        more = a.join(b, "key").where("u > v AND ru <> rv").select("u", "v").distinct()
-        links = materialize(links.union(confirm(more, nodes, docs, shingle_words, share)), "links")
+    open_keys = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    left = materialize(labelled.join(open_keys, "key", "left_semi").select("node", "root").distinct(), "open")
+    if not left.isEmpty():
+        more = confirm(prefix_pairs(left, nodes, docs, shingle_words, share), nodes, docs, shingle_words, share)
+        links = materialize(links.union(more), "links")
         roots = connected_components(links)
     placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = placed.groupBy("root").agg(F.min("low_id").alias("component_id"), F.min(F.struct(F.col("low_id").isNull(), "low_id", "first_rid")).alias("_first"))
@@ -183,10 +299,4 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, share: tuple[int, int] =
 
 def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """The rows of docs without near-duplicates: one row of each component stays, with all its columns."""
-    found = materialize(near_dedup(docs, shingle_words, share).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).agg(F.bool_or("first_row").alias("_stays"), F.count(F.lit(1)).alias("_n")).where("NOT _stays OR _n > 1"), "near-copies")
-    same = (F.xxhash64("text") == F.col("_th")) & docs["doc_id"].eqNullSafe(F.col("_id"))
-    kept = docs.join(found, same, "left_anti")
-    again = found.where("_stays")  # rows that occur again with the same id and text; mostly none
-    if again.isEmpty():
-        return kept
-    return kept.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return rows_that_stay(docs, near_dedup(docs, shingle_words, share).withColumnRenamed("first_row", "stays"))
