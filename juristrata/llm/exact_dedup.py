@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from juristrata.llm.common import ASCII_SPACE, bitmap_filter, materialize, pass_filter
+from juristrata.llm.common import ASCII_SPACE, bitmap_filter, materialize, pass_filter, rows_that_stay
 
 def normalized(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), ASCII_SPACE, "")
@@ -35,6 +35,7 @@ def flush(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
         digest(normalized(F.col(text_col))).alias("digest"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n_chars"),
         F.monotonically_increasing_id().alias("rid"),
+        F.xxhash64(text_col).alias("text_hash"),
     )
     return materialize(entries.sortWithinPartitions("digest"), "lsm-runs", **{"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "200000"})
 
@@ -57,7 +58,7 @@ def collisions(docs: DataFrame, hits: DataFrame, text_col: str, digest) -> DataF
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
-    """One row for each input row: doc_id, keep_id, group_size, kept, digest.
+    """One row for each input row: doc_id, keep_id, group_size, kept, digest, text_hash.
 
     digest maps the normalised text to a string; a weak one only costs more byte comparisons, never a wrong group.
     """
@@ -74,18 +75,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         runs = rest.unionByName(again)
         level = level.join(bad, "digest", "left_anti").unionByName(compact(again))
     return runs.join(level, "digest").select(
-        "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.split_part("digest", F.lit("/"), F.lit(1)).alias("digest")
+        "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.split_part("digest", F.lit("/"), F.lit(1)).alias("digest"), "text_hash"
     )
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    rows = docs.withColumn("_digest2", sha256(normalized(F.col("text"))))
-    out = rows.join(kept, (rows["doc_id"].eqNullSafe(kept["_id"])) & (rows["_digest2"] == kept["_digest"]), "left_semi")
-    repeated = materialize(rows.groupBy("doc_id", "_digest2").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("_digest2").alias("_digest")), "lsm-repeated")
-    if repeated.isEmpty():
-        return out.drop("_digest2")
-    same = (out["doc_id"].eqNullSafe(repeated["_id"])) & (out["_digest2"] == repeated["_digest"])
-    once = out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_digest2"]))
-    return once.drop("_digest2")
+    return rows_that_stay(docs, exact_dedup(docs).withColumnRenamed("kept", "stays"))
