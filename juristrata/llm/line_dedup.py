@@ -21,10 +21,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from juristrata.llm.common import materialize, small_batches
+from juristrata.llm.common import folded, materialize, small_batches
 
 BLOCK_BYTES = 1 << 16
 MAX_BITS = 1 << 27
@@ -74,21 +75,22 @@ def filters(docs: DataFrame, bits: int, min_chars: int) -> DataFrame:
                 seen = (get(once, a) & get(once, b)).astype(bool)
                 put(twice, a[seen]), put(twice, b[seen])
                 put(once, a), put(once, b)
+        task = TaskContext.get().partitionId()
         for block in range(0, bits // 8, BLOCK_BYTES):
             o, t = once[block : block + BLOCK_BYTES], twice[block : block + BLOCK_BYTES]
             if o.any():
-                yield pa.RecordBatch.from_arrays([pa.array([block // BLOCK_BYTES], pa.int32()), pa.array([zlib.compress(o.tobytes(), 1)], pa.binary()), pa.array([zlib.compress(t.tobytes(), 1)], pa.binary())], names=["block", "once", "twice"])
-
-    def merge(batches):
-        once = twice = block = None
-        for rb in batches:
-            for b, o, t in zip(*(c.to_pylist() for c in rb.columns), strict=True):
-                o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (o, t))
-                block, once, twice = (b, o, t) if once is None else (b, once | o, twice | t | (once & o))
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())], names=["block", "twice"])
-
-    blocks = docs.select("text").mapInArrow(note, "block int, once binary, twice binary")
-    return blocks.groupBy("block").applyInArrow(lambda t: pa.Table.from_batches(list(merge(t.to_batches()))), "block int, twice binary")
+                yield pa.RecordBatch.from_arrays([pa.array([block // BLOCK_BYTES], pa.int64()), pa.array([task], pa.int64()), pa.array([zlib.compress(o.tobytes(), 1)], pa.binary()), pa.array([zlib.compress(t.tobytes(), 1)], pa.binary())], names=["block", "task", "once", "twice"])
+
+    def merge(pieces: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+        once = twice = np.zeros(BLOCK_BYTES, np.uint8)
+        for piece in pieces:
+            o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in piece)
+            once, twice = once | o, twice | t | (once & o)
+        return zlib.compress(once.tobytes(), 1), zlib.compress(twice.tobytes(), 1)
+
+    texts = docs.select("text")
+    blocks = texts.mapInArrow(note, "block long, task long, once binary, twice binary")
+    return folded(blocks, merge, texts.rdd.getNumPartitions()).select("block", "twice")
 
 
 def suspects(docs: DataFrame, field, bits: int, min_chars: int) -> DataFrame:
