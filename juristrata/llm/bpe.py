@@ -9,7 +9,7 @@ walking the states back.
 
 Defined cases: a null text counts as empty; an empty text has no tokens; the strings of special tokens are found in
 the raw text, as the library does; white space inside other Unicode ranges is handled by the file's normaliser.
-Memory: a worker keeps at most CACHE pieces, WORDS words and PAIRS pairs of tokens between batches.
+Memory: a worker keeps at most CACHE pieces, WORDS words and PAIRS pairs of tokens between batches, and nothing between tasks.
 """
 
 from __future__ import annotations
@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from juristrata.llm.common import small_batches
+from juristrata.llm.common import release, small_batches
 
-CACHE = 200_000
-WORDS = 250_000
-PAIRS = 200_000
-"""What a worker keeps at most between batches: pieces, words, pairs of tokens."""
+CACHE = 150_000
+WORDS = 200_000
+PAIRS = 150_000
+PREFIXES = 100_000
+"""What a worker keeps at most between batches of a task: pieces, words, pairs of tokens, states of short prefixes."""
+SHORT = 6
 NEVER = 1 << 60
 LATIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u00ff]+")
 LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^a-z0-9\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00df-\u00f6\u00f8-\u00ff]+")
@@ -42,7 +44,8 @@ class TrieEncoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        library = Tokenizer.from_file(path)
+        # Only the file's normaliser and splitter are needed from the library, so its model stays empty.
+        library = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
         self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -50,10 +53,12 @@ class TrieEncoder:
         self.rank = {tuple(m): i for i, m in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
+        self.code = {s: i.to_bytes(4, "little") for s, i in self.vocab.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.apart: dict[tuple[str, str], bool] = {}
         self.spines: dict[str, tuple[list, list] | None] = {}
         self.odd: set[str] = set()
+        self.short: dict[str, str | None] = {}
         self.words: dict[str, tuple[bytes, str]] = {t: (i.to_bytes(4, "little"), t) for t, i in self.special.items()}
         self.longest = max(len(self._plain(t)) for t in self.vocab)
         self.pieces: dict[bytes, tuple[bytes, str]] = {}
@@ -151,10 +156,12 @@ class TrieEncoder:
                 return token
         return None
 
-    def encode_words(self, words: set[str]) -> dict[str, list[int]]:
-        """Encodings of distinct words, by one depth-first walk of their trie."""
-        out: dict[str, list[int]] = {}
-        before, states = "", [""]
+    def encode_words(self, words: set[str]) -> dict[str, list[str]]:
+        """Tokens of distinct words, by one depth-first walk of their trie."""
+        out: dict[str, list[str]] = {}
+        before, states, short = "", [""], self.short
+        if len(short) > PREFIXES:
+            short.clear()
         for word in sorted(words):
             shared = 0
             top = min(len(before), len(word), len(states) - 1)
@@ -163,19 +170,26 @@ class TrieEncoder:
             shared = min(shared, len(word) - 1)
             del states[shared + 1 :]
             for end in range(shared + 1, len(word)):
-                states.append(self._last(word, end, False, states))
-            token, end, ids = self._last(word, len(word), True, states), len(word), []
+                if end > SHORT:
+                    states.append(self._last(word, end, False, states))
+                    continue
+                prefix = word[:end]
+                state = short.get(prefix, 0)
+                if state == 0:
+                    state = short[prefix] = self._last(word, end, False, states)
+                states.append(state)
+            token, end, tokens = self._last(word, len(word), True, states), len(word) + len(self.suffix), []
             while token and end:
-                ids.append(self.vocab[token])
-                end -= len(self._plain(token)) if end == len(word) else len(token)
+                tokens.append(token)
+                end -= len(token)
                 token = states[end]
-            out[word] = ids[::-1] if end == 0 else self._fallback(word)
+            out[word] = tokens[::-1] if end == 0 else self._fallback(word)
             before = word
         return out
 
-    def _fallback(self, word: str) -> list[int]:
+    def _fallback(self, word: str) -> list[str]:
         """A word with a symbol outside the vocabulary has no chain of states; symbols without an id are left out."""
-        return [self.vocab[t] for t in self.merge([*word[:-1], word[-1] + self.suffix]) if t in self.vocab]
+        return [t for t in self.merge([*word[:-1], word[-1] + self.suffix]) if t in self.vocab]
 
     def _split(self, bit: str) -> list[str]:
         if self.plain and LATIN.fullmatch(bit):
@@ -187,10 +201,12 @@ class TrieEncoder:
         """Encode pieces that are not known yet."""
         single: list[tuple[bytes, str]] = []
         several: list[tuple[bytes, list[str]]] = []
-        special, cut, split = self.special, self.cut, self._split
+        special, cut, split, plain, fits, find = self.special, self.cut, self._split, self.plain, LATIN.fullmatch, LATIN_WORDS.findall
         for piece in pieces:
             text = piece.decode("utf-8")
-            if cut and "<" in text:
+            if plain and text.isascii() and "<" not in text and fits(text):
+                parts = find(text.lower())
+            elif cut and "<" in text:
                 parts = [x for bit in cut.split(text) if bit for x in ([bit] if bit in special else split(bit))]
             else:
                 parts = split(text)
@@ -198,15 +214,15 @@ class TrieEncoder:
                 single.append((piece, parts[0]))
             else:
                 several.append((piece, parts))
-        words, token = self.words, self.token
+        words, code = self.words, self.code
         wanted = {w for _, w in single}.union(*(parts for _, parts in several))
         fresh = wanted.difference(words)
         if len(words) + len(fresh) > WORDS and words:
             words.clear()
             words.update((t, (i.to_bytes(4, "little"), t)) for t, i in special.items())
             fresh = wanted.difference(words)
-        for word, ids in self.encode_words(fresh).items():
-            words[word] = (b"".join([i.to_bytes(4, "little") for i in ids]), " ".join([token[i] for i in ids]))
+        for word, tokens in self.encode_words(fresh).items():
+            words[word] = (b"".join([code[t] for t in tokens]), " ".join(tokens))
         known = self.pieces
         for piece, word in single:
             known[piece] = words[word]
@@ -214,19 +230,27 @@ class TrieEncoder:
             found = [words[w] for w in parts]
             known[piece] = (b"".join([i for i, _ in found]), " ".join([s for i, s in found if i]))
 
+    def forget(self) -> None:
+        """Drop all that was learnt from texts. A worker outlives its tasks, and a later stage needs the memory more than
+        the next task needs the words, most of which are new to it."""
+        for kept in (self.pieces, self.words, self.apart, self.spines, self.short):
+            kept.clear()
+        self.words.update((t, (i.to_bytes(4, "little"), t)) for t, i in self.special.items())
+        release()
+
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """(ids as little-endian 32-bit, decoded text) for each text."""
         split = [(t or "").encode("utf-8").split() for t in texts]
         fresh = set().union(*split).difference(self.pieces) if split else set()
         if len(self.pieces) + len(fresh) > CACHE and self.pieces:
-            self.pieces = {}
+            self.pieces.clear()
             fresh = set().union(*split)
         self.learn(fresh)
         for pieces in split:
             found = [self.pieces[p] for p in pieces]
             yield b"".join([i for i, _ in found]), " ".join([s for i, s in found if i])
         if len(self.pieces) > CACHE:
-            self.pieces = {}
+            self.pieces.clear()
 
 
 _encoders: dict[str, TrieEncoder] = {}
@@ -256,6 +280,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 [part.column(0), pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([i for i, _ in got], pa.binary()), pa.array([s for _, s in got], pa.string())],
                 names=["doc_id", "n_tokens", "ids", "decoded"],
             )
+        enc.forget()
 
     return narrow.mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
 
