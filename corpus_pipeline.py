@@ -30,8 +30,8 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs, ~held_out(3, 1))
-    judged = language.predict(docs, model, id_col="doc_id", keep=docs.columns)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SURE)).select("row.*")
+    found = language.judge(spark, model, F.col("text"))
+    return docs.where((found["lang_pred"] != "und") & (found["score"] >= MIN_SURE))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
