@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -80,6 +83,15 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def release() -> None:
+    """At the end of a task: give free memory of a worker back. Workers outlive their tasks, and a later stage of another
+    kind needs it more than they do."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def gathered(batches, rows: int):
     """Arrow batches joined until they have at least so many rows."""
     held, n = [], 0
