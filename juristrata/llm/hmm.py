@@ -214,7 +214,7 @@ def score_corpus(docs: DataFrame, learn: Column, rounds: int = ROUNDS, head: int
     counts = materialize(count_words(docs.where("learn")), "word-counts")
     n_words, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     n_docs = docs.where("learn").count()
-    top = counts.orderBy(F.desc("n"), "word").limit(head).collect()
+    top = head_words(counts, head)
     model = Model([bytes(r[0]) for r in top], [r[1] for r in top], (n_words or 0) + n_docs, distinct + (1 if n_docs else 0), n_docs)
     codes = materialize(encode(docs, model.head), "hmm-codes")
     if n_docs:
@@ -222,6 +222,20 @@ def score_corpus(docs: DataFrame, learn: Column, rounds: int = ROUNDS, head: int
     return score(codes, model, counts)
 
 
+def head_words(counts: DataFrame, head: int) -> list:
+    """The most frequent words as (word, n), at most `head`: all that occur at least as often as a cut, which a histogram
+    of the counts gives. (A sorted limit would send `head` rows of every partition to the driver.)"""
+    total, cut = 0, None
+    for n, words_of in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(head).collect():
+        total += words_of
+        if total > head:
+            break
+        cut = n
+    if cut is None:
+        return []
+    return sorted(counts.where(F.col("n") >= cut).collect(), key=lambda r: (-r[1], bytes(r[0])))
+
+
 def baum_welch(codes: DataFrame, model: Model, rounds: int) -> None:
     """Fit the model to all rows of codes, whose expected counts are summed over tasks and then over the cluster."""
     spark, k = codes.sparkSession, len(model.start)
