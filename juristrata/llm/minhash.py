@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from juristrata.llm.common import bitmap_filter, folded, materialize, pass_filter, rows_that_stay, small_batches, split_by_filter
+from juristrata.llm.common import bitmap_filter, folded, materialize, pass_filter, release, rows_that_stay, small_batches, split_by_filter
 from juristrata.llm.components import connected_components
 
 PERMUTATIONS = 64
@@ -106,6 +106,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 [rb.column(3), rb.column(0), rb.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                 names=["rid", "doc_id", "th", "n_shingles", "set_key", "bands"],
             )
+        forget()
 
     return narrow.mapInArrow(run, f"rid long, doc_id {kind}, th long, n_shingles long, set_key binary, bands array<long>")
 
@@ -130,6 +131,8 @@ def _sketch(texts: DataFrame, slots: int, note, merge, finish) -> np.ndarray:
             part = field[block : block + SKETCH_BLOCK]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([task], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "task", "part"])
+        del field
+        forget()
 
     def fold(pieces: list[tuple[bytes]]) -> tuple[bytes]:
         whole = np.zeros(SKETCH_BLOCK, dtype)
@@ -150,7 +153,8 @@ def prefix_pairs(left: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
     Shingles have one order for all sets: by a frequency sketch, rarest first, then by hash (any fixed order is right,
     this one is quick). If the smaller set has n and the larger m shingles, they must share a = ceil(s/(1+s) (n+m)), so
     the first n - ceil(2s/(1+s) n) + 1 of the smaller and m - ceil(s m) + 1 of the larger have a common one, and at the
-    first such, at places i and j, 1 + min(n - i, m - j) >= a. Only shingles that nodes of several roots may have in
+    first such, at places i and j, 1 + min(n - i, m - j) >= a; and what these parts share together with what is behind
+    the part that ends first in the order must reach a. Only shingles that nodes of several roots may have in
     these parts become rows; sketches have a fixed bound, beyond which more shingles become rows.
     """
     needed = nodes.join(left, nodes["rid"] == left["node"]).select("rid", F.col("doc_id").alias("nid"), F.col("th").alias("nth"), "root", "n_shingles")
@@ -176,19 +180,21 @@ def prefix_pairs(left: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
     frequency = spark.sparkContext.broadcast(zlib.compress(counts.tobytes(), 1))
 
     def heads(rb, known):
-        """(rid, root, n, shingles, places) of each row's part that counts; a slot that one node alone has is left out."""
+        """(rid, root, n, shingles, places, last) of each row's part that counts; a slot that one node alone has is left
+        out. last: the part's length, and the place of its last shingle in the order of all."""
         for rid, text, root in zip(*(rb.column(i).to_pylist() for i in range(3)), strict=True):
             s = shingles(text, size)
             n = len(s)
             c = known[slot(s)]
             order = np.lexsort((s, c))[: n - -(-numerator * n // denominator) + 1]
             keep = c[order] > 1
-            yield rid, root, n, s[order][keep], (np.flatnonzero(keep) + 1)
+            final = order[-1] if n else 0
+            yield rid, root, n, s[order][keep], (np.flatnonzero(keep) + 1), (len(order), int(c[final]) if n else 0, int(s[final] >> np.uint64(1)) if n else 0)
 
     def tag(field, rb):
         if field is None:
             return np.zeros(slots, np.int32)
-        for _, root, _, s, _ in heads(rb, _sketched(frequency, np.uint16)):
+        for _, root, _, s, _, _ in heads(rb, _sketched(frequency, np.uint16)):
             at, mark = slot(s), np.int32((int(mix(np.array([root], np.uint64))[0]) >> 33) or 1)
             field[at] = np.where((field[at] == 0) | (field[at] == mark), mark, -1)
 
@@ -197,22 +203,32 @@ def prefix_pairs(left: DataFrame, nodes: DataFrame, docs: DataFrame, size: int,
 
     several = _sketch(texts, slots, tag, joined, lambda a: (a == -1).astype(np.uint8))
     shared = spark.sparkContext.broadcast(zlib.compress(several.tobytes(), 1))
+    del counts, several
+    release()
 
     def cut(batches):
         for rb in batches:
             open_slots = _sketched(shared, np.uint8)
-            for rid, root, n, s, place in heads(rb, _sketched(frequency, np.uint16)):
+            for rid, root, n, s, place, last in heads(rb, _sketched(frequency, np.uint16)):
                 ok = open_slots[slot(s)] == 1
                 s, place = s[ok], place[ok]
                 full = lambda x: pa.array(np.full(len(s), x, np.int64))
-                yield pa.RecordBatch.from_arrays([full(rid), full(root), full(n), pa.array(s.view(np.int64)), pa.array(place)], names=["rid", "root", "n", "shingle", "place"])
+                marks = s.view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * len(s)), pa.array(np.tile(marks, len(s))))
+                yield pa.RecordBatch.from_arrays([full(rid), full(root), full(n), pa.array(marks), pa.array(place), lists, *(full(x) for x in last)], names=["rid", "root", "n", "shingle", "place", "head", "length", "rarity", "order"])
+        forget()
 
-    placed = materialize(texts.mapInArrow(cut, "rid long, root long, n long, shingle long, place long"), "left-prefixes")
+    placed = materialize(texts.mapInArrow(cut, "rid long, root long, n long, shingle long, place long, head array<long>, length long, rarity long, order long"), "left-prefixes")
     index = F.expr(f"n - (2 * {numerator} * n + {both - 1}) div {both} + 1")
-    small = placed.where(F.col("place") <= index).select("shingle", F.col("rid").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"), F.col("place").alias("pu"))
-    large = placed.select("shingle", F.col("rid").alias("v"), F.col("root").alias("rv"), F.col("n").alias("nv"), F.col("place").alias("pv"))
-    fits = f"ru <> rv AND nu <= nv AND {denominator} * nu >= {numerator} * nv AND (1 + least(nu - pu, nv - pv)) * {both} >= {numerator} * (nu + nv)"
-    found = small.join(large, "shingle").where(fits)
+    side = lambda df, k: df.select("shingle", *[F.col(c).alias(c + k) for c in ("rid", "root", "n", "place", "head", "length", "rarity", "order")])
+    needs = f"{numerator} * (n1 + n2)"
+    fits = f"root1 <> root2 AND n1 <= n2 AND {denominator} * n1 >= {numerator} * n2 AND (1 + least(n1 - place1, n2 - place2)) * {both} >= {needs}"
+    # What two heads share, and what the one that ends first has behind it, bounds what the sets can share.
+    common = "array_intersect(head1, head2)"
+    behind = "IF(rarity1 < rarity2 OR (rarity1 = rarity2 AND order1 < order2), n1 - length1, IF(rarity1 = rarity2 AND order1 = order2, greatest(n1 - length1, n2 - length2), n2 - length2))"
+    first = f"get({common}, 0) = shingle AND (size({common}) + {behind}) * {both} >= {needs}"
+    found = side(placed.where(F.col("place") <= index), "1").join(side(placed, "2"), "shingle").where(f"{fits} AND {first}")
+    found = found.select(F.col("rid1").alias("u"), F.col("rid2").alias("v"))
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
@@ -229,6 +245,13 @@ def _sketched(shared, dtype) -> np.ndarray:
     return _sketches[key]
 
 
+def forget() -> None:
+    """Drop what a worker keeps beside its task."""
+    _words.clear()
+    _sketches.clear()
+    release()
+
+
 def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
     pairs = materialize(pairs.select("u", "v").distinct(), "pairs")
@@ -254,6 +277,7 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, shar
                     if denominator * both >= numerator * (len(base) + len(s) - both):
                         us.append(u), vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        forget()
 
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
