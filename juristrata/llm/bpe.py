@@ -9,11 +9,12 @@ walking the states back.
 
 Defined cases: a null text counts as empty; an empty text has no tokens; the strings of special tokens are found in
 the raw text, as the library does; white space inside other Unicode ranges is handled by the file's normaliser.
-Memory: a worker keeps at most CACHE pieces, WORDS words and PAIRS pairs of tokens between batches, and nothing between tasks.
+Memory: what a worker keeps between batches has a bound (CACHE), and nothing stays between tasks.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Iterator
@@ -25,10 +26,8 @@ from pyspark.sql import functions as F
 from juristrata.llm.common import release, small_batches
 
 CACHE = 150_000
-WORDS = 200_000
-PAIRS = 150_000
-PREFIXES = 100_000
-"""What a worker keeps at most between batches of a task: pieces, words, pairs of tokens, states of short prefixes."""
+"""Pieces that a worker keeps at most between batches of a task; words (4/3 of it), pairs of tokens (as many) and states
+of short prefixes (2/3) follow. Fewer cost time, not results."""
 SHORT = 6
 NEVER = 1 << 60
 LATIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u00ff]+")
@@ -62,6 +61,7 @@ class TrieEncoder:
         self.words: dict[str, tuple[bytes, str]] = {t: (i.to_bytes(4, "little"), t) for t, i in self.special.items()}
         self.longest = max(len(self._plain(t)) for t in self.vocab)
         self.pieces: dict[bytes, tuple[bytes, str]] = {}
+        self.limit = CACHE
         # The shortcut for printable Latin-1 is taken only for files whose own rules give the same on a probe of all of it.
         letters = {chr(c): self._by_file(chr(c)) for c in range(0xA1, 0x100)}
         self.bytes_of = str.maketrans({c: "".join(w) for c, w in letters.items() if c == c.lower()})
@@ -135,7 +135,7 @@ class TrieEncoder:
                     i += 1
                 else:
                     j += 1
-        if len(self.apart) > PAIRS:
+        if len(self.apart) > self.limit:
             self.apart.clear()
         self.apart[left, right] = known
         return known
@@ -160,7 +160,7 @@ class TrieEncoder:
         """Tokens of distinct words, by one depth-first walk of their trie."""
         out: dict[str, list[str]] = {}
         before, states, short = "", [""], self.short
-        if len(short) > PREFIXES:
+        if len(short) > 2 * self.limit // 3:
             short.clear()
         for word in sorted(words):
             shared = 0
@@ -217,7 +217,7 @@ class TrieEncoder:
         words, code = self.words, self.code
         wanted = {w for _, w in single}.union(*(parts for _, parts in several))
         fresh = wanted.difference(words)
-        if len(words) + len(fresh) > WORDS and words:
+        if len(words) + len(fresh) > 4 * self.limit // 3 and words:
             words.clear()
             words.update((t, (i.to_bytes(4, "little"), t)) for t, i in special.items())
             fresh = wanted.difference(words)
@@ -242,14 +242,14 @@ class TrieEncoder:
         """(ids as little-endian 32-bit, decoded text) for each text."""
         split = [(t or "").encode("utf-8").split() for t in texts]
         fresh = set().union(*split).difference(self.pieces) if split else set()
-        if len(self.pieces) + len(fresh) > CACHE and self.pieces:
+        if len(self.pieces) + len(fresh) > self.limit and self.pieces:
             self.pieces.clear()
             fresh = set().union(*split)
         self.learn(fresh)
         for pieces in split:
             found = [self.pieces[p] for p in pieces]
             yield b"".join([i for i, _ in found]), " ".join([s for i, s in found if i])
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > self.limit:
             self.pieces.clear()
 
 
@@ -266,7 +266,7 @@ def encoder(path: str) -> TrieEncoder:
 SCHEMA = "n_tokens long, ids binary, decoded string"
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache: int | None = None) -> DataFrame:
     """For each row: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (the ids decoded again)."""
     small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -274,13 +274,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         enc = encoder(path)
-        for part in batches:
-            got = list(enc.encode_batch(part.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([i for i, _ in got], pa.binary()), pa.array([s for _, s in got], pa.string())],
-                names=["doc_id", "n_tokens", "ids", "decoded"],
-            )
-        enc.forget()
+        enc.limit = cache or CACHE
+        gc.disable()  # nothing here makes cycles, and looking for them among so many words costs an eighth of the time
+        try:
+            for part in batches:
+                got = list(enc.encode_batch(part.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([i for i, _ in got], pa.binary()), pa.array([s for _, s in got], pa.string())],
+                    names=["doc_id", "n_tokens", "ids", "decoded"],
+                )
+        finally:
+            gc.enable()
+            enc.forget()
 
     return narrow.mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
 
