@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juristrata.llm.common import per_class_sample, small_batches
+from juristrata.llm.common import per_class_sample, release, small_batches
 
 DIM = 1 << 13
 PER_LANGUAGE = 500
@@ -164,7 +164,10 @@ def train(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str =
     x = np.zeros((len(got), DIM), np.float32)
     for i, (_, at, v, _) in enumerate(got):
         x[i, np.frombuffer(at, "<u2")] = np.frombuffer(v, "<f4")
-    return Model(x, [g[0] for g in got], np.array([g[3] % 3 == 0 for g in got]))
+    model = Model(x, [g[0] for g in got], np.array([g[3] % 3 == 0 for g in got]))
+    del got, x
+    release()
+    return model
 
 
 def judge(spark: SparkSession, model: Model | None, text: Column) -> Column:
