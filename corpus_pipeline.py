@@ -24,6 +24,8 @@ from juristrata.llm.common import held_out, materialize
 
 MIN_SURE = 0.2
 MIX_POWER = 0.5
+BPE_CACHE = 70_000
+"""Pieces of text that a worker keeps in the last stage; it shares the executors with what earlier stages left."""
 
 ORACLE_SQL = None
 
@@ -47,7 +49,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return queries.bpe_digests(docs)
+    return queries.bpe_digests(docs, cache=BPE_CACHE)
 
 
 STAGES = [
