@@ -305,7 +305,9 @@ def concept_counts(i):
 @query(sql_with(f"SELECT DISTINCT l.concept, e.source_id, e.action_type FROM ({_LINKS}) l JOIN e_li e ON e.target = l.p_partkey::VARCHAR WHERE e.seq % 7 = 0", "titles", "e_li"))
 def concept_browse(i):
     links = _links(i).select(F.col("p_partkey").cast("string").alias("target"), "concept")
-    return i.e_li.where("seq % 7 = 0").join(links, "target").select("concept", "source_id", "action_type").distinct()
+    # Each edge once before the join, which carries no repeats.
+    per_target = i.e_li.select("target", "source_id", "action_type").distinct()
+    return per_target.join(links, "target").select("concept", "source_id", "action_type").distinct()
 
 
 @query(sql_with(f"""SELECT concept, string_agg(action_type || ':' || n::VARCHAR, ', ' ORDER BY n DESC, action_type) AS top_actions FROM (
