@@ -568,7 +568,7 @@ def semantic_enrich(i):
     FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q) WHERE rank <= 5""")
 def topk_per_query(i):
     vectors = i.table("embeddings")
-    return search.batch_top_k(vectors, vectors.where("vec_id < 20").selectExpr("vec_id AS query_id", "embedding AS q"), 5, pos="vec_id").select("query_id", "pos", "similarity", "rank")
+    return search.batch_top_k(vectors, vectors.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS q"), 5, pos="vec_id").select("query_id", "pos", "similarity", "rank")
 
 
 @query("SELECT vec_id, 1.0::DOUBLE AS norm FROM embeddings")

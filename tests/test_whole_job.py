@@ -2,6 +2,9 @@
 
 import datetime
 
+import numpy as np
+
+from juristrata.operators import search
 from juristrata.plans import catalog
 
 
@@ -15,3 +18,21 @@ def test_concept_browse_sees_every_edge(spark, tmp_path):
     action = {"R": "REPEALS", "A": "AMENDS", "N": "CITES"}
     want = {(c, str(s), action[f]) for p, c in links for _, s, part, f, _ in lines if p == part}
     assert len({s for _, s, _ in want}) == 14 and len(got) == len(want) and set(got) == want
+
+
+def nearest(vectors, ids, k):
+    """(query_id, pos, rank) by brute force over similarities rounded as the query's."""
+    s = np.round(vectors[ids] @ vectors.T, 4)
+    return {(q, int(p), r) for q, row in zip(ids, s, strict=True) for r, p in enumerate(np.lexsort((np.arange(len(row)), -row))[:k], 1)}
+
+
+def test_topk_per_query_has_every_twentieth_row(spark, tmp_path):
+    vectors = np.random.default_rng(3).normal(size=(130, 8))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(3)
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["topk_per_query"](spark, str(tmp_path)).collect()
+    want = nearest(vectors, list(range(0, 130, 20)), 5)
+    assert len(got) == len(want) and {(r["query_id"], r["pos"], r["rank"]) for r in got} == want
+    blocks = search.batch_top_k(table, table.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS q"), 5, pos="vec_id", query_rows=3)
+    assert {(r["query_id"], r["pos"], r["rank"]) for r in blocks.collect()} == want
