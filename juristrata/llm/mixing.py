@@ -1,19 +1,24 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame and SQL functions only.
 
-Rows of a source are put in a fixed pseudo-random order (MD5 of the id) and cut into blocks. A source of weight p/Q
+Rows of a source are put in a fixed pseudo-random order (MD5 of the id) and cut into blocks. A lane of weight p/Q
 releases its i-th block (from 0) at slot floor(i Q / p) and must place it by slot ceil((i + 1) Q / p) - 1. At every
 slot the released block with the earliest deadline goes first. The weights add up to 1, so every block meets its
-window, and after any number of slots each source has had its share to within less than one block. The schedule
+window, and after any number of slots each lane has had its share p/Q to within less than one block. The schedule
 repeats after Q slots, so only one frame of Q slots is ever computed (one row, by SQL's aggregate()); a block's slot
 follows by arithmetic. No task holds a source: rows are numbered inside small ranges of the MD5, whose sizes are
 summed up first.
 
+The lanes' shares p are the largest remainders of Q times the target weights, so p/Q is within 1/Q of the target (a
+lane of less than 1/Q gets one slot, for which the others pay). Q follows the number of blocks, up to a bound by the
+work of one frame; as long as one frame holds all blocks, a lane is less than two blocks away from its exact target.
+A longer stream adds at most one block a frame.
+
 What is scheduled is never dropped: when a source has no more blocks its later slots stay empty and the others move
 up in the same order (`within` marks the rows before the first source ran out, where the bound holds).
 
 Defined cases: a null source is a source of its own; without weights each source's natural share (its rows) is the
-target; weights are rounded to multiples of 1/Q, each at least 1/Q; a source without a weight gets 1/Q; repeated rows
-are rows; an empty table gives an empty result.
+target; a source without a weight (or with one below 0) gets 1/Q; repeated rows are rows; an empty table gives an
+empty result; more than MAX_SOURCES sources, or more than the slots of a fixed frame, raise ValueError.
 """
 
 from __future__ import annotations
@@ -24,6 +29,10 @@ from pyspark.sql import functions as F
 from juristrata.llm.common import materialize
 
 SLOTS = 1000
+"""Slots of the shortest frame that is chosen by itself."""
+MOST_SLOTS = 16_000
+FRAME_WORK = 1_500_000
+"""Bounds of a frame's slots, and of its slots times its lanes."""
 BLOCK_ROWS = 8
 MAX_SOURCES = 1000
 RANGE_ROWS = 50_000
@@ -34,25 +43,40 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
 
 
-def targets(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 1.0, slots: int = SLOTS, source_col: str = "source") -> DataFrame:
-    """(key, n, p): rows of each source and its integer share of the frame's slots, by largest remainders.
-
-    Without weights, a source's weight is its number of rows to the given power (1: its natural share; less: flatter).
-    """
+def weighed(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 1.0, source_col: str = "source") -> DataFrame:
+    """(key, n, w): rows and weight of each source. Without weights, the weight is the number of rows to the given power
+    (1: its natural share; less: flatter)."""
     n = docs.groupBy(_source_key(F.col(source_col)).alias("key")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
-        w = F.pow(F.col("n").cast("double"), F.lit(power))
-    else:
-        names = {("null" if k is None else f"={k}"): float(v) for k, v in weights.items()}
-        pairs = [x for k, v in names.items() for x in (F.lit(k), F.lit(v))]
-        w = F.coalesce(F.create_map(*pairs)[F.col("key")], F.lit(0.0)) if pairs else F.lit(0.0)
-    everything = Window.partitionBy(F.lit(1))  # one row a source, of which there are few
-    rows = n.withColumn("w", w).withColumn("total", F.sum("w").over(everything)).withColumn("sources", F.count(F.lit(1)).over(everything))
-    ideal = (F.lit(slots) - F.col("sources")) * F.coalesce(F.try_divide("w", "total"), F.lit(0.0))
-    rows = rows.withColumn("base", 1 + F.floor(ideal)).withColumn("rest", F.round(ideal - F.floor(ideal), 9))
-    spare = F.lit(slots) - F.sum("base").over(everything)
+        return n.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(power)))
+    names = {("null" if k is None else f"={k}"): float(v) for k, v in weights.items()}
+    if not names:
+        return n.withColumn("w", F.lit(0.0))
+    given = docs.sparkSession.createDataFrame(list(names.items()), "key string, w double")
+    return n.join(given, "key", "left").select("key", "n", F.greatest(F.coalesce("w", F.lit(0.0)), F.lit(0.0)).alias("w"))
+
+
+def shares(lanes: DataFrame, slots: int) -> DataFrame:
+    """The rows (key, w, more) of lanes with p, their integer shares of the frame: largest remainders of slots * w, at least 1.
+
+    Where every lane's target is at least one slot these are the plain largest remainders; else what smaller lanes have
+    too much is taken from the others in proportion to what they have beyond one slot."""
+    everything = Window.partitionBy(F.lit(1))  # one row a lane, at most MAX_SOURCES
+    ideal = F.lit(slots) * F.coalesce(F.try_divide("w", F.sum("w").over(everything)), F.lit(0.0))
+    rows = lanes.withColumn("beyond", F.greatest(ideal - 1, F.lit(0.0))).withColumn("all_beyond", F.sum("beyond").over(everything)).withColumn("lanes", F.count(F.lit(1)).over(everything))
+    free = F.lit(slots) - F.col("lanes")
+    even = F.try_divide(F.lit(1.0), F.col("lanes"))  # without any weight: equal shares
+    rows = rows.withColumn("ideal", F.round(free * F.coalesce(F.try_divide("beyond", "all_beyond"), even), 9))
+    rows = rows.withColumn("base", F.floor("ideal")).withColumn("rest", F.round(F.col("ideal") - F.floor("ideal"), 9))
+    spare = free - F.sum("base").over(everything)
     nth = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("rest"), "key"))
-    return rows.withColumn("spare", spare).withColumn("nth", nth).select("key", "n", "w", (F.col("base") + (F.col("nth") <= F.col("spare")).cast("long")).cast("long").alias("p"))
+    rows = rows.withColumn("spare", spare).withColumn("nth", nth)
+    return rows.select(*lanes.columns, (1 + F.col("base") + (F.col("nth") <= F.col("spare")).cast("long")).cast("long").alias("p"))
+
+
+def targets(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 1.0, slots: int = SLOTS, source_col: str = "source") -> DataFrame:
+    """(key, n, w, p): rows and weight of each source and its integer share of a frame of so many slots."""
+    return shares(weighed(docs, weights, power, source_col), slots)
 
 
 def frame(shares: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -73,13 +97,18 @@ def frame(shares: DataFrame, slots: int = SLOTS) -> DataFrame:
     return named.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("slot")) - 1)
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 1.0, slots: int = SLOTS, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power: float = 1.0, slots: int | None = None, block_rows: int = BLOCK_ROWS, id_col: str = "doc_id", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
     """For each row: doc_id, source, the columns in keep (under a struct `row`), block (of its source, from 0), place (in the block), slot, release,
-    deadline, within. Ordered by (slot, place) the rows are the mixture."""
-    shares = materialize(targets(docs, weights, power, slots, source_col), "mixing-targets")
-    total, sources = shares.agg(F.sum("n"), F.count(F.lit(1))).first()
-    if (sources or 0) > min(MAX_SOURCES, slots):
-        raise ValueError(f"{sources} sources; at most {min(MAX_SOURCES, slots)} can be scheduled in {slots} slots")
+    deadline (of its lane's block), within. Ordered by (slot, place) the rows are the mixture.
+
+    The frame's length follows the input unless slots fixes it."""
+    sources = materialize(weighed(docs, weights, power, source_col), "mixing-weights")
+    total, count, n_blocks, total_w = sources.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.expr(f"(n + {block_rows - 1}) div {block_rows}")), F.sum("w")).first()
+    if count > min(MAX_SOURCES, slots or MAX_SOURCES):
+        raise ValueError(f"{count} sources; at most {min(MAX_SOURCES, slots or MAX_SOURCES)} can be scheduled")
+    if slots is None:
+        slots = max(SLOTS, min(n_blocks or 0, MOST_SLOTS, FRAME_WORK // max(1, count)))
+    plan = materialize(shares(sources, slots), "mixing-targets")
     digits = 1
     while 16**digits * RANGE_ROWS < (total or 0) and digits < 8:
         digits += 1
@@ -93,14 +122,15 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, power:
     nth = F.row_number().over(Window.partitionBy("key", "range").orderBy("h", "doc_id")) - 1
     numbered = rows.withColumn("nth", nth).join(offsets, ["key", "range"]).withColumn("seq", F.col("nth") + F.col("before"))
     blocks = numbered.withColumn("block", F.expr(f"seq div {block_rows}")).withColumn("place", F.expr(f"seq % {block_rows}"))
-    horizon = shares.agg(F.min(F.expr(f"n div {block_rows} * {slots} div p"))).first()[0] or 0
-    known = F.broadcast(shares.select("key", "p"))  # at most MAX_SOURCES rows
-    placed = blocks.join(known, "key").withColumn("i", F.expr("cast(block % p AS int)"))
-    out = placed.join(F.broadcast(frame(shares, slots)), ["key", "i"])  # at most `slots` rows
-    slot = F.expr(f"block div p * {slots}") + F.col("slot")
+    horizon = plan.agg(F.min(F.expr(f"n div {block_rows} * {slots} div p"))).first()[0] or 0
+    known = F.broadcast(plan.select("key", "p"))  # at most as many rows as lanes
+    placed = blocks.join(known, "key").withColumn("nth_block", F.col("block")).withColumn("lane", F.col("key"))
+    cycle = frame(plan, slots).withColumnRenamed("key", "lane").withColumnRenamed("slot", "slot_")
+    out = placed.withColumn("i", F.expr("cast(nth_block % p AS int)")).join(F.broadcast(cycle), ["lane", "i"])  # at most `slots` rows
+    slot = F.expr(f"nth_block div p * {slots}") + F.col("slot_")
     return out.select(
         "doc_id", "source", *(["row"] if keep else []), "block", "place", slot.alias("slot"),
-        F.expr(f"block * {slots} div p").alias("release"), F.expr(f"((block + 1) * {slots} + p - 1) div p").alias("deadline"),
+        F.expr(f"nth_block * {slots} div p").alias("release"), F.expr(f"((nth_block + 1) * {slots} + p - 1) div p").alias("deadline"),
         (slot < F.lit(horizon)).alias("within"),
     )
 
