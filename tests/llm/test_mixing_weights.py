@@ -1,7 +1,9 @@
-"""The mixture against the true target weights."""
+"""The mixture against the true target weights, and with more sources than lanes."""
 
 from collections import Counter
 
+import pytest
+
 from juristrata.llm import mixing
 
 
@@ -41,3 +43,18 @@ def test_mixture_follows_the_true_weights_over_a_long_stream(spark):
     weights = {s: n**0.5 for s, n in sizes.items()}
     far, slots = furthest(mixing.mix(rows_of(spark, sizes), power=0.5, block_rows=1).collect(), weights)
     assert slots > 4000 and far < 2
+
+
+@pytest.mark.parametrize("sources, lanes", [(1200, 256), (60, 8)])
+def test_any_number_of_sources(spark, sources, lanes):
+    sizes = {"hot": 900} | {f"s{k}": 1 + k % 9 for k in range(sources)}
+    weights = {s: n**0.5 for s, n in sizes.items()}
+    got = mixing.mix(rows_of(spark, sizes), power=0.5, block_rows=1, lanes=lanes).collect()
+    assert len(got) == sum(sizes.values()) == len({r["doc_id"] for r in got}) == len({r["slot"] for r in got})
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    far, slots = furthest(got, weights)
+    assert slots > 0 and far < 2
+    # Also beyond the first end of a source no source is starved: the hot one has its share of the first slots.
+    first = [r["source"] for r in sorted(got, key=lambda r: r["slot"])[: len(got) // 4]]
+    share = len(first) * weights["hot"] / sum(weights.values())
+    assert abs(first.count("hot") - share) < 2 + share / 20
