@@ -6,8 +6,9 @@
 3. near_dedup: min-max hashing over five-word shingles at similarity 0.8; one document of each component stays.
 4. mixing: the documents in the order of a Pfair schedule in which each source's weight is the square root of its
    rows, so the hot source does not fill the front of the stream. All documents stay; the order of rows is the
-   decision, and row groups and files keep it.
-5. bpe: token ids of every document and what they decode to, as counts and digests.
+   decision. Row groups and files keep it, but a reader may take files in another order.
+5. bpe: token ids of every document and what they decode to, as counts and digests; and each document's slot and place
+   in the mixture, which follow from the ids and sources of the rows alone. By (slot, place) the rows are the mixture.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again before the next one.
 """
@@ -49,7 +50,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return queries.bpe_digests(docs, cache=BPE_CACHE)
+    digests = materialize(queries.bpe_digests(docs, cache=BPE_CACHE, keep=["source"]), "bpe-digests")
+    found = [c for c in digests.columns if c not in ("doc_id", "source")]
+    mixed = mixing.mix(digests, power=MIX_POWER, keep=found)
+    return mixed.select("doc_id", *[f"row.{c}" for c in found], "slot", "place")
 
 
 STAGES = [

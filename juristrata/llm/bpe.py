@@ -266,11 +266,13 @@ def encoder(path: str) -> TrieEncoder:
 SCHEMA = "n_tokens long, ids binary, decoded string"
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache: int | None = None) -> DataFrame:
-    """For each row: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (the ids decoded again)."""
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """For each row: doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (the ids decoded again), and the columns in keep."""
     small_batches(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    keep = keep or []
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
     kind = narrow.schema["doc_id"].dataType.simpleString()
+    more = "".join(f", {c} {narrow.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         enc = encoder(path)
@@ -280,14 +282,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for part in batches:
                 got = list(enc.encode_batch(part.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([i for i, _ in got], pa.binary()), pa.array([s for _, s in got], pa.string())],
-                    names=["doc_id", "n_tokens", "ids", "decoded"],
+                    [part.column(0), pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([i for i, _ in got], pa.binary()), pa.array([s for _, s in got], pa.string()), *part.columns[2:]],
+                    names=["doc_id", "n_tokens", "ids", "decoded", *keep],
                 )
         finally:
             gc.enable()
             enc.forget()
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+    return narrow.mapInArrow(run, f"doc_id {kind}, {SCHEMA}{more}")
 
 
 def decode(ids: bytes, path: str) -> str:

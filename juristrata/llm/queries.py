@@ -30,9 +30,9 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
-def bpe_digests(docs: DataFrame, cache: int | None = None) -> DataFrame:
-    found = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), cache=cache)
-    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def bpe_digests(docs: DataFrame, cache: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    found = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), cache=cache, keep=keep)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *(keep or []))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
