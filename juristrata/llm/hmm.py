@@ -223,17 +223,34 @@ def score_corpus(docs: DataFrame, learn: Column, rounds: int = ROUNDS, head: int
 
 
 def head_words(counts: DataFrame, head: int) -> list:
-    """The most frequent words as (word, n), at most `head`: all that occur at least as often as a cut, which a histogram
-    of the counts gives. (A sorted limit would send `head` rows of every partition to the driver.)"""
-    total, cut = 0, None
+    """The most frequent words as (word, n), at most `head`: all that occur more often than a cut, which a histogram of
+    the counts gives, and as many of those at the cut as there is room for. (A sorted limit would send `head` rows of
+    every partition to the driver.)"""
+    total, cut, level = 0, None, None
     for n, words_of in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(head).collect():
-        total += words_of
-        if total > head:
+        if total + words_of > head:
+            level = n
             break
-        cut = n
-    if cut is None:
-        return []
-    return sorted(counts.where(F.col("n") >= cut).collect(), key=lambda r: (-r[1], bytes(r[0])))
+        total, cut = total + words_of, n
+    found = [] if cut is None else counts.where(F.col("n") >= cut).collect()
+    if level is not None and total < head:
+        found += _some_words(counts.where(F.col("n") == level), head - total)
+    return sorted(found, key=lambda r: (-r[1], bytes(r[0])))
+
+
+SPREAD = 1 << 16
+
+
+def _some_words(level: DataFrame, wanted: int) -> list:
+    """So many of the rows (word, n), in the order of a hash of the word, then of the word; collects few more."""
+    spread = level.select("word", "n", F.pmod(F.xxhash64("word"), F.lit(SPREAD)).alias("bucket"))
+    total, last = 0, -1
+    for bucket, words_of in spread.groupBy("bucket").agg(F.count(F.lit(1))).orderBy("bucket").collect():  # at most SPREAD rows
+        total, last = total + words_of, bucket
+        if total >= wanted:
+            break
+    rows = spread.where(F.col("bucket") <= last).collect()
+    return [(r["word"], r["n"]) for r in sorted(rows, key=lambda r: (r["bucket"], bytes(r["word"])))[:wanted]]
 
 
 def baum_welch(codes: DataFrame, model: Model, rounds: int) -> None:
