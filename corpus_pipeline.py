@@ -1,7 +1,8 @@
 """The corpus pipeline: from raw documents to token ids, each stage by one operator of juristrata.llm.
 
 1. language_id: a model is learnt from the labelled rows of the stage's input; documents go that have no letter (no
-   language can be told: `und`) or whose language is less sure than MIN_SURE.
+   language can be told: `und`) or whose language is less sure than MIN_SURE (with two families of two languages none
+   is: the score is at least 0.25).
 2. exact_dedup: of documents with equal texts (white space aside) the longest, then the smallest id, stays.
 3. near_dedup: min-max hashing over five-word shingles at similarity 0.8; one document of each component stays.
 4. mixing: the documents in the order of a Pfair schedule in which each source's weight is the square root of its
