@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -18,15 +18,18 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a local one only where it is unset."""
+    """The shared folder that the session names in spark.checkpoint.dir. Where it is unset, a local session gets a folder
+    of its own, and a cluster an error: its machines share no temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             root = set_dir.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             root = "file://" + tempfile.mkdtemp(prefix="juristrata-")
             spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return root.rstrip("/")
 
 
@@ -51,6 +54,26 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Scratch tables of one run of an operator. What the operator's result does not read is dropped at the end; what it
+    reads stays under spark.checkpoint.dir and belongs to the caller, who deletes that folder as usual."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        self.tables.append(materialize(df, name, **options))
+        return self.tables[-1]
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            self.tables = [t for t in self.tables if t is not df]
+            discard(self.spark, df)
+
+    def close(self, *keep: DataFrame) -> None:
+        self.drop(*[t for t in self.tables if not any(t is k for k in keep)])
+
+
 FAN_IN = 64
 
 
@@ -119,39 +142,97 @@ def held_out(modulus: int, remainder: int, doc_id: str = "doc_id") -> Column:
     return F.coalesce(bucket_of(doc_id, modulus) == remainder, F.lit(False))
 
 
-def per_class_sample(df: DataFrame, by: str, order: Column, n: int) -> DataFrame:
-    """At most n rows of each class, in a fixed pseudo-random order (the window's group limit prunes before its shuffle)."""
-    from pyspark.sql import Window
+LEVEL_BITS, LEVELS = 10, 3
+
+
+def class_limits(rows: DataFrame, by: str, h: str, n: int) -> DataFrame:
+    """(by, upto): for each class, a bound of the hash h at or below which it has at most n distinct hashes, and nearly n
+    if it has more; null (no bound) where it has at most n.
+
+    Hashes are counted in LEVELS levels of 1 << LEVEL_BITS ranges, pre-aggregated in each task; each level splits only the
+    range of the one before in which the n-th hash lies. A window sees one row a range, so no task holds or ranks the rows
+    of a class."""
+    hashes = rows.select(by, F.col(h).alias("h")).distinct()
+    at = _crossing(hashes.select(by, F.lit(n).cast("long").alias("room"), F.shiftright("h", 64 - LEVEL_BITS).alias("range")), by)
+    for level in range(2, LEVELS + 1):
+        at = materialize(at, "class-ranges")
+        outer, inner = F.shiftright("h", 64 - (level - 1) * LEVEL_BITS), F.shiftright("h", 64 - level * LEVEL_BITS)
+        inside = hashes.join(F.broadcast(at.where("range IS NOT NULL")), by).where(outer == F.col("range")).select(by, "room", inner.alias("range"))
+        at = at.select(by).join(_crossing(inside, by), by, "left")
+    return materialize(at.select(by, (F.shiftleft("range", 64 - LEVELS * LEVEL_BITS) - 1).alias("upto")), "class-limits")
 
-    w = Window.partitionBy(by).orderBy(order)
-    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
+def _crossing(hashes: DataFrame, by: str) -> DataFrame:
+    """(by, range, room): the first range up to which a class has more rows than its room, and the room left before it;
+    null where the room is enough for all."""
+    sizes = hashes.groupBy(by, "room", "range").agg(F.count(F.lit(1)).alias("size"))
+    upto = sizes.withColumn("upto", F.sum("size").over(Window.partitionBy(by).orderBy("range")))
+    at = F.min(F.when(F.col("upto") > F.col("room"), F.struct("range", (F.col("room") - F.col("upto") + F.col("size")).alias("room"))))
+    return upto.groupBy(by).agg(at.alias("at")).select(by, "at.range", "at.room")
 
-FILTER_WORDS = 1 << 17
+
+def class_sample(rows: DataFrame, by: str, h: str, n: int) -> DataFrame:
+    """The rows of each class with its smallest hashes, at most n distinct ones; n is a documented bound of a sample."""
+    limits = class_limits(rows, by, h, n)  # one row a class
+    return rows.join(F.broadcast(limits), by).where(F.col("upto").isNull() | (F.col(h) <= F.col("upto"))).drop("upto")
+
+
+FILTER_WORDS = 1 << 19
 """64-bit words of a bitmap filter: at most this many (word, bits) rows of 12 bytes are broadcast, whatever the input."""
 
 
-def bitmap_filter(keys: DataFrame, key: str, words: int = FILTER_WORDS) -> DataFrame:
-    """A one-hash Bloom filter over a long column, as rows (word, bits); its size has a fixed bound."""
-    slots = keys.select(F.pmod(F.col(key), F.lit(words * 64)).alias("slot"))
-    return slots.groupBy(F.expr("cast(slot div 64 AS int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("bits"))
+def filter_words(keys: int) -> int:
+    """Words of a filter for so many keys: 16 bits a key, between 1 << 12 and FILTER_WORDS. A fuller filter lets more
+    rows through to the join behind it, and never fewer."""
+    return max(1 << 12, min(FILTER_WORDS, 1 << (max(keys, 1) * 16 // 64).bit_length()))
+
+
+class Bitmap:
+    """A one-hash Bloom filter over a long column, as broadcast rows (word, bits)."""
+
+    def __init__(self, keys: DataFrame, key: str, count: int | None = None):
+        self.words = filter_words(keys.count() if count is None else count)
+        slots = keys.select(F.pmod(F.col(key), F.lit(self.words * 64)).alias("slot"))
+        self.rows = slots.groupBy(F.expr("cast(slot div 64 AS int)").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 AS int)))").alias("_bits"))
+
+    @classmethod
+    def of(cls, words: int, rows: DataFrame) -> Bitmap:
+        """A filter of so many words from its rows (_word, _bits)."""
+        made = cls.__new__(cls)
+        made.words, made.rows = words, rows
+        return made
+
+    def mark(self, rows: DataFrame, key: Column, name: str) -> DataFrame:
+        """rows with a boolean column: whether the filter may hold the key (false for a null one)."""
+        slotted = rows.withColumn("_slot", F.pmod(key, F.lit(self.words * 64))).withColumn("_word", F.expr("cast(_slot div 64 AS int)"))
+        marked = slotted.join(F.broadcast(self.rows), "_word", "left")
+        hit = F.coalesce(F.expr("getbit(_bits, cast(_slot % 64 AS int)) = 1"), F.lit(False))
+        return marked.select(*[rows[c] for c in rows.columns], hit.alias(name))
+
+    def keep(self, rows: DataFrame, key: Column) -> DataFrame:
+        """The rows whose key the filter may hold: all that match and a few more, picked before any shuffle."""
+        return self.mark(rows, key, "_held").where("_held").drop("_held")
+
+    def split(self, rows: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:
+        """The rows whose key the filter does not hold, and those whose key it may hold."""
+        marked = self.mark(rows, key, "_held")
+        return marked.where("NOT _held").drop("_held"), marked.where("_held").drop("_held")
 
 
-def pass_filter(rows: DataFrame, key: Column, filter_rows: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
-    """The rows whose key the filter may hold: all that match and a few more, picked before any shuffle."""
-    slotted = rows.withColumn("_slot", F.pmod(key, F.lit(words * 64)))
-    joined = slotted.withColumn("_word", F.expr("cast(_slot div 64 AS int)")).join(F.broadcast(filter_rows.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))), "_word")
-    return joined.where(F.expr("getbit(_bits, cast(_slot % 64 AS int)) = 1")).drop("_slot", "_word", "_bits")
+HOT = 1000
+"""Rows of a key from which on a join deals them to several tasks."""
 
 
-def split_by_filter(rows: DataFrame, key: Column, filter_rows: DataFrame, words: int = FILTER_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The rows whose key the filter does not hold, and those whose key it may hold."""
-    bits = filter_rows.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
-    slotted = rows.withColumn("_slot", F.pmod(key, F.lit(words * 64))).withColumn("_word", F.expr("cast(_slot div 64 AS int)"))
-    marked = slotted.join(F.broadcast(bits), "_word", "left")
-    hit = F.coalesce(F.expr("getbit(_bits, cast(_slot % 64 AS int)) = 1"), F.lit(False))
-    clear, doubted = (marked.where(c).select(*[rows[c] for c in rows.columns]) for c in (~hit, hit))
-    return clear, doubted
+def meet(rows: DataFrame, unique: DataFrame, key: str, n: str, spread: str) -> DataFrame:
+    """rows joined to unique, which has one row for each key; n is the number of rows that meet it. The rows of a hot key
+    are dealt, by a hash of the column spread, to as many tasks as a shuffle has, and its row of unique is sent to each."""
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = unique.where(F.col(n) > HOT).select(F.xxhash64(key).alias("h"))
+    bitmap = Bitmap(hot, "h")
+    left = bitmap.mark(rows, F.xxhash64(rows[key]), "_hot").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    right = bitmap.mark(unique, F.xxhash64(unique[key]), "_hot")
+    right = right.withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return left.join(right, [key, "_salt"]).drop("_salt")
 
 
 def rows_that_stay(docs: DataFrame, judged: DataFrame) -> DataFrame:
@@ -161,7 +242,7 @@ def rows_that_stay(docs: DataFrame, judged: DataFrame) -> DataFrame:
     shuffled; all others pass straight through. Of rows that occur again with the same id and text one stays."""
     found = judged.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).agg(F.bool_or("stays").alias("_stays"), F.count(F.lit(1)).alias("_n"))
     found = materialize(found.where("NOT _stays OR _n > 1"), "leaving")
-    clear, doubted = split_by_filter(docs, F.xxhash64(docs["text"]), bitmap_filter(found, "_th"))
+    clear, doubted = Bitmap(found, "_th").split(docs, F.xxhash64(docs["text"]))
     same = (F.xxhash64(doubted["text"]) == found["_th"]) & doubted["doc_id"].eqNullSafe(found["_id"])
     kept = clear.unionByName(doubted.join(found, same, "left_anti"))
     again = found.where("_stays")

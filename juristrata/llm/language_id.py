@@ -3,12 +3,13 @@
 First a one-versus-rest linear support vector machine over language families, then, inside the predicted family,
 one-versus-one linear support vector machines that vote between its closely related languages.
 
-Features: counts of byte 1- to 4-grams of the lower-cased text and of whole words, hashed into DIM buckets, square
-rooted and scaled to length 1; the whole text is read, by numpy, in bounded blocks.
-Learning: at most PER_LANGUAGE labelled rows of each language, in hash order of the id (a bounded, documented sample;
-only its sparse features reach the driver). A third of them calibrates margins into probabilities (Platt's method).
+Features: counts of byte 1- to 4-grams of the lower-cased text, hashed into DIM buckets, square rooted and scaled to
+length 1; the whole text is read, by numpy, in bounded blocks.
+Learning: at most PER_LANGUAGE labelled ids of each language, those with the smallest hashes (a bounded, documented
+sample; only its sparse features reach the driver). A third of them calibrates margins into probabilities (Platt's
+method).
 
-Defined cases: a null text, an empty one, or one without any letter is `und` with score 0; with no labelled rows at
+Defined cases: rows without an id are not learnt from, and of rows that share one a single text is; a null text, an empty one, or one without any letter is `und` with score 0; with no labelled rows at
 all every text is `und`; with a single language that language is predicted for every text that has a letter.
 """
 
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juristrata.llm.common import per_class_sample, release, small_batches
+from juristrata.llm.common import class_limits, release, small_batches
 
 DIM = 1 << 13
 PER_LANGUAGE = 500
@@ -65,17 +66,21 @@ def features(text: str) -> np.ndarray:
     return x / norm if norm else x
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 4.0, epochs: int = 12, seed: int = 7) -> np.ndarray:
-    """A linear SVM with squared hinge loss by dual coordinate descent; y is +1 or -1, the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, a, q, order = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(1) + 0.5 / c, np.random.default_rng(seed)
+def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 4.0, epochs: int = 12, seed: int = 7) -> np.ndarray:
+    """A linear SVM with squared hinge loss by dual coordinate descent on some rows of x, which is not copied; y is +1 or
+    -1 for each of them, the last weight is the bias."""
+    w, bias, a, order = np.zeros(x.shape[1]), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
+    q = np.array([float(x[r] @ x[r]) for r in rows]) + 1 + 0.5 / c
     for _ in range(epochs):
-        for i in order.permutation(len(x)):
-            new = max(0.0, a[i] - (y[i] * (w @ x[i]) - 1 + a[i] * 0.5 / c) / q[i])
+        for i in order.permutation(len(rows)):
+            v = x[rows[i]]
+            new = max(0.0, a[i] - (y[i] * (w @ v + bias) - 1 + a[i] * 0.5 / c) / q[i])
             if new != a[i]:
-                w += (new - a[i]) * y[i] * x[i]
+                step = (new - a[i]) * y[i]
+                w += step * v
+                bias += step
                 a[i] = new
-    return w
+    return np.append(w, bias)
 
 
 def platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -108,8 +113,8 @@ class Model:
             train, test = rows & fit, rows & calibrate
             if len(set(y[train])) < 2:
                 train, test = rows, rows
-            w = svm(x[train], y[train])
-            return w, platt(x[test] @ w[:-1] + w[-1], y[test])
+            w = svm(x, np.flatnonzero(train), y[train])
+            return w, platt((x @ w[:-1].astype(x.dtype))[test] + w[-1], y[test])
 
         everything = np.ones(len(lang), bool)
         if len(self.families) > 1:
@@ -142,11 +147,13 @@ class Model:
 
 
 def train(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fit on rows where `learn` holds, whose language and text are not null."""
+    """Fit on rows where `learn` holds, whose id, language and text are not null."""
     small_batches(docs.sparkSession)
-    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    ids = per_class_sample(rows, "lang", F.struct(F.xxhash64("id", F.lit(8)), "id"), per_language)
-    picked = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(ids.dropDuplicates(["id", "lang"])), ["id", "lang"], "left_semi").where(F.col("text").isNotNull())
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col), F.lit(8)).alias("h"), F.col(text_col).alias("text"))
+    limits = class_limits(rows, "lang", "h", per_language)  # one row a language
+    near = rows.join(F.broadcast(limits), "lang").where("upto IS NULL OR h <= upto")
+    # Of rows that share an id one text counts, so repeated rows are not learnt from twice.
+    picked = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def run(batches):
         for rb in batches:
@@ -158,7 +165,7 @@ def train(docs: DataFrame, learn: Column, lang_col: str = "lang", id_col: str =
             yield pa.RecordBatch.from_arrays([rb.column(0), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary()), rb.column(2)], names=["lang", "at", "v", "h"])
 
     kind = "lang string, at binary, v binary, h long"
-    got = sorted(tuple(r) for r in picked.select("lang", "text", F.xxhash64("id", F.lit(9)).alias("h")).mapInArrow(run, kind).collect())
+    got = sorted(tuple(r) for r in picked.select("lang", "text", F.xxhash64("h", F.lit(9)).alias("h")).mapInArrow(run, kind).collect())
     if not got:
         return None
     x = np.zeros((len(got), DIM), np.float32)

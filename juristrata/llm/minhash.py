@@ -8,9 +8,9 @@ minima and maxima (4 values): at similarity 0.8 two sets miss all 32 bands with
 2. In each bucket of a band every member is paired with the smallest one, its hub: links, not all pairs.
 3. Pairs are confirmed on the full sets: a hub's text and its members' texts meet in hub order, in salted parts.
 4. Connected components of the confirmed links. The members of buckets that still hold several components are not
-   given up: an exact prefix-filter join over their full sets finds every pair across components that can reach the
-   threshold, and these are confirmed too, so no candidate link between different texts is lost, and families of
-   texts just below the threshold do not give all their pairs.
+   given up: every two of them that no component joins yet are compared on their full sets inside grouped tasks, in
+   bounded parts of the bucket, so no candidate link between different texts is lost. The tasks give only links that
+   join components, so families of texts just below the threshold make no rows, whatever their size.
 
 Defined cases: a null text, an empty one or one without words has no shingle and no link; fewer words than a shingle
 are one shingle; rows with equal sets are linked; repeated rows share a component; component_id is the smallest
@@ -20,23 +20,24 @@ doc_id (null ids do not count); an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from juristrata.llm.common import bitmap_filter, folded, materialize, pass_filter, release, rows_that_stay, small_batches, split_by_filter
+from juristrata.llm.common import Bitmap, Scratch, meet, release, rows_that_stay, small_batches
 from juristrata.llm.components import connected_components
 
 PERMUTATIONS = 64
 BANDS = 32
-SKETCH_BLOCK = 1 << 16
 SALTED = 1000
 """Members of a hub that one part confirms."""
+PART_ROWS, PART_SHINGLES = 1000, 400_000
+"""Members of an open bucket that meet another part of it in one task, and shingles that they have."""
+ROWS_AT_ONCE, PAIRS, WIDTH = 128, 1 << 14, 32
+"""Rows of a part whose pairs are listed at once; pairs that are counted at once; words of bits counted at once."""
 WORDS = 150_000
 
 _rng = np.random.default_rng(20240229)
@@ -112,153 +113,126 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def texts_of(needed: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rid, text) of the rows of needed (rid, nid, nth). Only these texts, and a few more, leave the scan: a
-    fixed-size bitmap of their hashes picks them."""
-    found = pass_filter(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), F.col("th"), bitmap_filter(needed, "nth"))
-    return found.join(needed, (F.col("th") == F.col("nth")) & F.col("doc_id").eqNullSafe(F.col("nid"))).select("rid", "text")
-
-
-def _sketch(texts: DataFrame, slots: int, note, merge, finish) -> np.ndarray:
-    """Fold a fixed-size array over all rows: note(array, rows of a batch) in each task, merge(a, b) block by block."""
-
-    dtype = note(None, None).dtype
-
-    def run(batches):
-        field, task = note(None, None), TaskContext.get().partitionId()
-        for rb in batches:
-            note(field, rb)
-        for block in range(0, slots, SKETCH_BLOCK):
-            part = field[block : block + SKETCH_BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([task], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "task", "part"])
-        del field
-        forget()
-
-    def fold(pieces: list[tuple[bytes]]) -> tuple[bytes]:
-        whole = np.zeros(SKETCH_BLOCK, dtype)
-        for (part,) in pieces:
-            whole = merge(whole, np.frombuffer(zlib.decompress(part), dtype))
-        return (zlib.compress(whole.astype(dtype).tobytes(), 1),)
-
-    blocks = texts.mapInArrow(run, "block long, task long, part binary")
-    out = finish(note(None, None))
-    for block, _, part in folded(blocks, fold, texts.rdd.getNumPartitions()).toLocalIterator():
-        out[block : block + SKETCH_BLOCK] = finish(np.frombuffer(zlib.decompress(part), dtype))
-    return out
-
-
-def prefix_pairs(left: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
-    """Pairs (u, v) of different roots among left (node, root) that may reach the threshold; none that does is missing.
-
-    Shingles have one order for all sets: by a frequency sketch, rarest first, then by hash (any fixed order is right,
-    this one is quick). If the smaller set has n and the larger m shingles, they must share a = ceil(s/(1+s) (n+m)), so
-    the first n - ceil(2s/(1+s) n) + 1 of the smaller and m - ceil(s m) + 1 of the larger have a common one, and at the
-    first such, at places i and j, 1 + min(n - i, m - j) >= a; and what these parts share together with what is behind
-    the part that ends first in the order must reach a. Only shingles that nodes of several roots may have in
-    these parts become rows; sketches have a fixed bound, beyond which more shingles become rows.
-    """
-    needed = nodes.join(left, nodes["rid"] == left["node"]).select("rid", F.col("doc_id").alias("nid"), F.col("th").alias("nth"), "root", "n_shingles")
-    needed = materialize(needed, "left-over")
-    total = needed.agg(F.sum("n_shingles")).first()[0]
-    slots = min(1 << 23, max(SKETCH_BLOCK, 1 << int(2 * total).bit_length()))
-    texts = materialize(texts_of(needed.drop("root", "n_shingles"), docs).dropDuplicates(["rid"]).join(needed.select("rid", "root"), "rid"), "left-texts")
-    spark = docs.sparkSession
+    """(rid, text) of the rows of needed (rid, nid, nth). Only these texts, and a few more, leave the scan: a bitmap of
+    their hashes picks them."""
+    found = Bitmap(needed, "nth").keep(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), F.col("th"))
+    return found.join(needed, (F.col("th") == F.col("nth")) & F.col("doc_id").eqNullSafe(F.col("nid"))).select("rid", "text").dropDuplicates(["rid"])
+
+
+class Forest:
+    """Disjoint sets over 0..n-1."""
+
+    def __init__(self, roots: list[int]):
+        first: dict[int, int] = {}
+        self.up = [first.setdefault(r, i) for i, r in enumerate(roots)]
+
+    def top(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart."""
+        i, j = self.top(i), self.top(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+    def labels(self) -> np.ndarray:
+        return np.array([self.top(i) for i in range(len(self.up))])
+
+
+def similar(sets: list[np.ndarray], candidates, share: tuple[int, int]):
+    """Of the pairs of positions in sets that candidates yields, as arrays (i, j), those that are similar enough.
+
+    Shingles that only one set has are no column; the others become bits, counted for WIDTH words of columns at a time,
+    and a pair goes as soon as what is left of the smaller set cannot reach the threshold any more."""
+    n = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), n)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1
+    ok = times[column] > 1
+    row, column = row[ok], rank[column[ok]]
+    words = -(-int((times > 1).sum()) // 64)
+    words = max(WIDTH, -(-words // WIDTH) * WIDTH)
+    bits = np.zeros((len(sets), words), np.uint64)
+    np.bitwise_or.at(bits, (row, column >> 6), np.left_shift(np.uint64(1), (column & 63).astype(np.uint64)))
+    each = np.bitwise_count(bits).reshape(len(sets), -1, WIDTH).sum(2, dtype=np.int64)
+    behind = np.cumsum(each[:, ::-1], 1)[:, ::-1]  # the row's bits from a block on
     numerator, denominator = share
-    both = denominator + numerator
-
-    def slot(s: np.ndarray) -> np.ndarray:
-        return (s % np.uint64(slots)).astype(np.int64)
-
-    def count(field, rb):
-        if field is None:
-            return np.zeros(slots, np.uint16)
-        for text in rb.column(1).to_pylist():
-            at = np.unique(slot(shingles(text, size)))
-            field[at] += field[at] < 65535
-
-    counts = _sketch(texts, slots, count, lambda a, b: np.minimum(a.astype(np.uint32) + b, 65535).astype(np.uint16), lambda a: a.copy())
-    frequency = spark.sparkContext.broadcast(zlib.compress(counts.tobytes(), 1))
-
-    def heads(rb, known):
-        """(rid, root, n, shingles, places, last) of each row's part that counts; a slot that one node alone has is left
-        out. last: the part's length, and the place of its last shingle in the order of all."""
-        for rid, text, root in zip(*(rb.column(i).to_pylist() for i in range(3)), strict=True):
-            s = shingles(text, size)
-            n = len(s)
-            c = known[slot(s)]
-            order = np.lexsort((s, c))[: n - -(-numerator * n // denominator) + 1]
-            keep = c[order] > 1
-            final = order[-1] if n else 0
-            yield rid, root, n, s[order][keep], (np.flatnonzero(keep) + 1), (len(order), int(c[final]) if n else 0, int(s[final] >> np.uint64(1)) if n else 0)
-
-    def tag(field, rb):
-        if field is None:
-            return np.zeros(slots, np.int32)
-        for _, root, _, s, _, _ in heads(rb, _sketched(frequency, np.uint16)):
-            at, mark = slot(s), np.int32((int(mix(np.array([root], np.uint64))[0]) >> 33) or 1)
-            field[at] = np.where((field[at] == 0) | (field[at] == mark), mark, -1)
-
-    def joined(a, b):
-        return np.where(a == 0, b, np.where((b == 0) | (a == b), a, np.int32(-1)))
-
-    several = _sketch(texts, slots, tag, joined, lambda a: (a == -1).astype(np.uint8))
-    shared = spark.sparkContext.broadcast(zlib.compress(several.tobytes(), 1))
-    del counts, several
-    release()
-
-    def cut(batches):
-        for rb in batches:
-            open_slots = _sketched(shared, np.uint8)
-            for rid, root, n, s, place, last in heads(rb, _sketched(frequency, np.uint16)):
-                ok = open_slots[slot(s)] == 1
-                s, place = s[ok], place[ok]
-                full = lambda x: pa.array(np.full(len(s), x, np.int64))
-                marks = s.view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * len(s)), pa.array(np.tile(marks, len(s))))
-                yield pa.RecordBatch.from_arrays([full(rid), full(root), full(n), pa.array(marks), pa.array(place), lists, *(full(x) for x in last)], names=["rid", "root", "n", "shingle", "place", "head", "length", "rarity", "order"])
-        forget()
-
-    placed = materialize(texts.mapInArrow(cut, "rid long, root long, n long, shingle long, place long, head array<long>, length long, rarity long, order long"), "left-prefixes")
-    index = F.expr(f"n - (2 * {numerator} * n + {both - 1}) div {both} + 1")
-    side = lambda df, k: df.select("shingle", *[F.col(c).alias(c + k) for c in ("rid", "root", "n", "place", "head", "length", "rarity", "order")])
-    needs = f"{numerator} * (n1 + n2)"
-    fits = f"root1 <> root2 AND n1 <= n2 AND {denominator} * n1 >= {numerator} * n2 AND (1 + least(n1 - place1, n2 - place2)) * {both} >= {needs}"
-    # What two heads share, and what the one that ends first has behind it, bounds what the sets can share.
-    common = "array_intersect(head1, head2)"
-    behind = "IF(rarity1 < rarity2 OR (rarity1 = rarity2 AND order1 < order2), n1 - length1, IF(rarity1 = rarity2 AND order1 = order2, greatest(n1 - length1, n2 - length2), n2 - length2))"
-    first = f"get({common}, 0) = shingle AND (size({common}) + {behind}) * {both} >= {needs}"
-    found = side(placed.where(F.col("place") <= index), "1").join(side(placed, "2"), "shingle").where(f"{fits} AND {first}")
-    found = found.select(F.col("rid1").alias("u"), F.col("rid2").alias("v"))
-    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-
-_sketches: dict[tuple, np.ndarray] = {}
-
-
-def _sketched(shared, dtype) -> np.ndarray:
-    """A broadcast sketch, unpacked once in a worker; at most two are kept."""
-    key = (hash(shared.value), dtype)
-    if key not in _sketches:
-        while len(_sketches) > 1:
-            _sketches.pop(next(iter(_sketches)))
-        _sketches[key] = np.frombuffer(zlib.decompress(shared.value), dtype)
-    return _sketches[key]
+    for i, j in candidates:
+        for at in range(0, len(i), PAIRS):
+            a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+            needs = -(-numerator * (n[a] + n[b]) // (numerator + denominator))
+            have = np.zeros(len(a), np.int64)
+            for block in range(words // WIDTH):
+                able = have + np.minimum(behind[a, block], behind[b, block]) >= needs
+                a, b, needs, have = a[able], b[able], needs[able], have[able]
+                if not len(a):
+                    break
+                part = slice(block * WIDTH, (block + 1) * WIDTH)
+                have += np.bitwise_count(bits[a, part] & bits[b, part]).sum(1, dtype=np.int64)
+            able = have >= needs
+            yield a[able], b[able]
+
+
+def links_inside(open_rows: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, share: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """Links (u, v) between members of different components of the same open bucket; open_rows has key, node, size, root.
+
+    A bucket is cut into parts of at most about PART_ROWS members and PART_SHINGLES shingles, and every two of its parts
+    meet in a task of their own, which compares full sets. A pair that shares several buckets is compared in that of the
+    lowest band only. A task gives the links that join components, so fewer than it has members, and never pairs."""
+    info = open_rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.greatest(F.ceil(F.count(F.lit(1)) / PART_ROWS), F.ceil(F.sum("size") / PART_SHINGLES)).cast("int").alias("parts"))
+    needed = nodes.join(open_rows.select(F.col("node").alias("rid"), "root").distinct(), "rid").select("rid", F.col("doc_id").alias("nid"), F.col("th").alias("nth"), "root", "bands")
+    needed = scratch.table(needed, "open-nodes")
+    texts = scratch.table(texts_of(needed.select("rid", "nid", "nth"), docs).join(needed.select(F.col("rid").alias("node"), "root", "bands"), F.col("rid") == F.col("node")).drop("rid"), "open-texts")
+    dealt = meet(open_rows.select("key", "node"), info, "key", "n", "node").withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+    blocks = dealt.select("key", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    blocks = blocks.select("key", "node", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        key, inside = table.column("key")[0].as_py(), table.column("low")[0] == table.column("high")[0]
+        node, part = table.column("node").to_numpy(), table.column("part").to_numpy()
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        sets = [shingles(t, size) for t in table.column("text").to_pylist()]
+        n, forest = np.array([len(s) for s in sets]), Forest(table.column("root").to_pylist())
+        band = int((bands == key).all(0).argmax())
+        numerator, denominator = share
+
+        def candidates():
+            for at in range(0, len(sets), ROWS_AT_ONCE):
+                i = np.arange(at, min(at + ROWS_AT_ONCE, len(sets)))
+                label = forest.labels()
+                ok = (label[i][:, None] != label) & (np.minimum.outer(n[i], n) * denominator >= np.maximum.outer(n[i], n) * numerator) & (i[:, None] < np.arange(len(sets)))
+                if not inside:
+                    ok &= part[i][:, None] != part
+                for lower in bands[:, :band].T:
+                    ok &= lower[i][:, None] != lower
+                a, b = np.nonzero(ok)
+                yield i[a], b
+
+        us, vs = [], []
+        for a, b in similar(sets, candidates(), share):
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                if forest.join(i, j):
+                    us.append(int(node[i])), vs.append(int(node[j]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+    return blocks.join(texts, "node").groupBy("key", "low", "high").applyInArrow(compare, "u long, v long")
 
 
 def forget() -> None:
     """Drop what a worker keeps beside its task."""
     _words.clear()
-    _sketches.clear()
     release()
 
 
-def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
+def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, share: tuple[int, int], scratch: Scratch) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
-    pairs = materialize(pairs.select("u", "v").distinct(), "pairs")
+    pairs = scratch.table(pairs.select("u", "v").distinct(), "pairs")
     needed = nodes.join(pairs.select(F.col("u").alias("rid")).union(pairs.select(F.col("v").alias("rid"))).distinct(), "rid", "left_semi").select("rid", F.col("doc_id").alias("nid"), F.col("th").alias("nth"))
-    texts = texts_of(materialize(needed, "pair-nodes"), docs)
-    hubs = pairs.groupBy("v").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("parts"))
-    members = pairs.join(hubs, "v").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int")).select(F.col("u").alias("rid"), "v", "part", F.lit(1).alias("role"))
+    texts = texts_of(scratch.table(needed, "pair-nodes"), docs)
+    hubs = pairs.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("parts"))
+    members = meet(pairs, hubs, "v", "n", "u").withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int")).select(F.col("u").alias("rid"), "v", "part", F.lit(1).alias("role"))
     firsts = hubs.select(F.col("v").alias("rid"), "v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
     rows = members.unionByName(firsts).join(texts, "rid").select("v", "part", "role", F.col("rid").alias("u"), "text")
     dealt = rows.repartition("v", "part").sortWithinPartitions("v", "part", "role")
@@ -285,40 +259,40 @@ def confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, shar
 def near_dedup(docs: DataFrame, shingle_words: int = 5, share: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: doc_id, n_shingles, component_id, kept, and first_row (true for one row of each component)."""
     small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = materialize(signatures(docs, shingle_words), "signatures")
-    classes = materialize(rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("_first")).select("set_key", "node", "low_id", F.col("_first.rid").alias("first_rid")), "classes")
+    rows = scratch.table(signatures(docs, shingle_words), "signatures")
+    classes = scratch.table(rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("rid").alias("node"), F.min("doc_id").alias("low_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("_first"), F.count(F.lit(1)).alias("n")).select("set_key", "node", "low_id", F.col("_first.rid").alias("first_rid"), "n"), "classes")
     # One row of each class represents it. The others are few, so they are what is looked up; the bands stay in place.
-    others = rows.select("set_key", "rid").join(classes.select("set_key", "node"), "set_key").where("rid <> node").select(F.xxhash64("rid").alias("h"), F.col("rid").alias("other"))
-    others = materialize(others, "represented")
-    clear, doubted = split_by_filter(rows.where("n_shingles > 0"), F.xxhash64("rid"), bitmap_filter(others, "h"))
+    worded = rows.where("n_shingles > 0")
+    others = meet(worded.select("set_key", "rid"), classes.where("n > 1").select("set_key", "node", "n"), "set_key", "n", "rid").where("rid <> node").select(F.xxhash64("rid").alias("h"), F.col("rid").alias("other"))
+    others = scratch.table(others, "represented")
+    clear, doubted = Bitmap(others, "h").split(worded, F.xxhash64("rid"))
     nodes = clear.unionByName(doubted.join(others, doubted["rid"] == others["other"], "left_anti"))
-    buckets = nodes.select(F.col("rid").alias("node"), F.explode("bands").alias("key"))
-    shared = materialize(buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    # Most keys are alone: a fixed-size bitmap of the shared ones keeps the rest out of the join's shuffle.
-    members = materialize(pass_filter(buckets, F.col("key"), bitmap_filter(shared, "key")).join(shared, "key"), "members")
+    buckets = nodes.select(F.col("rid").alias("node"), F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
+    shared = scratch.table(buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    # Most keys are alone: a bitmap of the shared ones keeps the rest out of the join's shuffle.
+    members = scratch.table(meet(Bitmap(shared, "key").keep(buckets, F.col("key")), shared, "key", "n", "node"), "members")
     tested = members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    links = materialize(confirm(tested, nodes, docs, shingle_words, share), "links")
+    links = scratch.table(confirm(tested, nodes, docs, shingle_words, share, scratch), "links")
     roots = connected_components(links)
     # Members, other than hubs, of buckets of more than two that still hold several components.
-    labelled = members.where("n > 2 AND node <> hub").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = materialize(labelled.join(open_keys, "key", "left_semi").select("node", "root").distinct(), "open")
+    labelled = members.where("n > 2 AND node <> hub").join(roots, "node", "left").select("key", "node", "size", "n", F.coalesce("root", "node").alias("root"))
+    labelled = scratch.table(labelled, "labelled")
+    open_keys = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("n").alias("n")).where("low < high").select("key", "n")
+    left = scratch.table(meet(labelled.drop("n"), open_keys, "key", "n", "node").drop("n"), "open")
     if not left.isEmpty():
-        more = confirm(prefix_pairs(left, nodes, docs, shingle_words, share), nodes, docs, shingle_words, share)
-        links = materialize(links.union(more), "links")
-        roots = connected_components(links)
+        more = links_inside(left, nodes, docs, shingle_words, share, scratch)
+        stars = roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = connected_components(scratch.table(stars.union(more), "links"))
     placed = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = placed.groupBy("root").agg(F.min("low_id").alias("component_id"), F.min(F.struct(F.col("low_id").isNull(), "low_id", "first_rid")).alias("_first"))
-    placed = materialize(placed.join(best, "root").select("set_key", "component_id", F.col("_first.first_rid").alias("first_rid")), "placed")
-    out = rows.join(placed, "set_key", "left")
-    alone = F.col("set_key").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
-        (alone | (F.col("rid") == F.col("first_rid"))).alias("first_row"),
-        F.col("th").alias("text_hash"),
-    )
+    placed = scratch.table(placed.join(best, "root").select("set_key", "component_id", F.col("_first.first_rid").alias("first_rid"), "n"), "placed")
+    scratch.close(rows, placed)
+    found = meet(worded.drop("bands"), placed, "set_key", "n", "rid")
+    columns = lambda component, first: ["doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), first.alias("first_row"), F.col("th").alias("text_hash")]
+    alone = rows.where("n_shingles = 0").select(*columns(F.col("doc_id"), F.lit(True)))
+    return alone.unionByName(found.select(*columns(F.col("component_id"), F.col("rid") == F.col("first_rid"))))
 
 
 def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:

@@ -1,16 +1,18 @@
 """Approximate nearest neighbours with learned partitions.
 
-Learning: a bounded sample of SAMPLE vectors (in hash order of the id) is brought to the driver; its neighbour graph is
-cut into balanced parts by a capacity-bounded label propagation that keeps neighbours together, and a small two-layer
-network learns to predict a vector's part.
-Index: the network puts every vector into its most probable part. Search: it routes a query to its most
-probable parts, until their chances add up to MASS; these are reranked by the exact distance on the original vectors. A part that holds very many vectors
-(or copies of one) is cut into chunks by a hash of the id, and queries meet each chunk of a part on its own, so no
-task holds a part; each gives its best k and a last step merges them.
-
-Defined cases: vectors that are null, zero, or hold null or non-finite components, or have another length than the
-sampled ones, take no part; with fewer candidates than k all are returned; equal distances rank by the smaller id;
-the query's own row is left out, but not copies of its vector under other ids; an empty table gives an empty result.
+Learning: a bounded sample of SAMPLE vectors (those with the smallest hashes of the id) is brought to the driver; its
+neighbour graph is cut into balanced parts by a capacity-bounded label propagation that keeps neighbours together, and a
+small two-layer network learns to predict a vector's part. The number of parts grows with the square root of the rows,
+as far as the sample has SAMPLED vectors for each.
+Index: the network puts every vector into its most probable part. Search: it routes a query to its most probable parts,
+until their chances add up to MASS; these are reranked by the exact distance on the original vectors. A part that holds
+very many vectors (or copies of one) is cut into chunks by a hash of the row, and queries meet each chunk of a part on
+its own, so no task holds a part; each gives its best k and a last step merges them.
+
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; a vector of another
+length than most is compared with all vectors of its own length, and only with them; with fewer candidates than k all are
+returned; equal distances rank by the smaller id; a query's own row is left out, but neither copies of its vector nor
+other rows with its id; every row of a repeated query is a query; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,14 +22,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from juristrata.llm.common import materialize
+from juristrata.llm.common import class_sample, materialize
 
 SAMPLE = 8192
-PARTS = 16
+PARTS, ROWS_OF_PARTS, SAMPLED = 16, 50_000, 64
+"""Parts of a table of up to ROWS_OF_PARTS rows; sampled vectors that each part needs at least."""
 MASS = 0.96
 """A query goes to its most probable parts until their chances add up to this: few parts where the space has structure."""
-CHUNK_ROWS = 20_000
-QUERY_ROWS = 2_000
+CHUNK_ROWS, QUERY_ROWS = 25_000, 10_000
+"""Candidates, and queries, of a part that meet in one task."""
+AT_ONCE = 32
 HIDDEN = 128
 
 
@@ -133,16 +137,21 @@ def part_shares(part: np.ndarray, near: np.ndarray, parts: int) -> np.ndarray:
     return target / target.sum(1, keepdims=True)
 
 
-def learn(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> Router | None:
-    """Fit a router on the sample; vectors has vec_id and the usable vector v."""
-    rows = vectors.orderBy(F.xxhash64("vec_id", F.lit(10)), "vec_id").limit(sample).collect()
-    if not rows:
+def parts_of(rows: int, sample: int) -> int:
+    return max(1, min(round(PARTS * max(1.0, rows / ROWS_OF_PARTS) ** 0.5), max(PARTS, sample // SAMPLED)))
+
+
+def learn(vectors: DataFrame, sample: int = SAMPLE, parts: int | None = None) -> Router | None:
+    """Fit a router on the sample; vectors has vec_id and the usable vector v. Of rows that share an id one counts."""
+    rows = vectors.select(F.lit(0).alias("all"), F.xxhash64("vec_id", F.lit(10)).alias("h"), "v")
+    picked = class_sample(rows, "all", "h", sample).groupBy("h").agg(F.min("v").alias("v")).collect()
+    if not picked:
         return None
-    width = pd.Series([len(r["v"]) for r in rows]).mode()[0]
-    rows = [r for r in rows if len(r["v"]) == width]
+    picked = sorted(picked, key=lambda r: r["h"])
+    width = pd.Series([len(r["v"]) for r in picked]).mode()[0]
     # Copies of one vector say nothing new about the space.
-    x = np.unique(np.array([r["v"] for r in rows], float), axis=0)
-    parts = max(1, min(parts, len(x) // 8))
+    x = np.unique(np.array([r["v"] for r in picked if len(r["v"]) == width], float), axis=0)
+    parts = max(1, min(parts or parts_of(vectors.count(), sample), len(x) // 8))
     if parts == 1:
         return Router(x, np.ones((len(x), 1)))
     near = neighbour_graph(x)
@@ -150,61 +159,63 @@ def learn(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> Route
     return Router(x, part_shares(part, near, parts))
 
 
-def _spread(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(2))
+FOUND = {"query": "int64", "query_id": "int64", "vec_id": "int64", "score": "float64"}
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, mass: float = MASS, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, parts: int = PARTS) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, mass: float = MASS, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, parts: int | None = None) -> DataFrame:
     """For each query its k nearest found: query_id, rank, vec_id, score (Euclidean distance in double precision)."""
     spark = vectors.sparkSession
-    good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asked")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    out = "query_id long, rank int, vec_id long, score double"
+    good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
     router = learn(good, sample, parts)
     if router is None:
-        return spark.createDataFrame([], out)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared, width = spark.sparkContext.broadcast(router), len(router.mean)
-    good = good.where(F.size("v") == width)
 
     def route(frames):
         r = shared.value
         for f in frames:
-            if not len(f):
-                continue
-            p = r.chances(np.stack(f["v"].to_numpy()))
-            order = np.argsort(-p, axis=1, kind="stable").astype(np.int32)
-            upto = (np.cumsum(np.take_along_axis(p, order, 1), 1) < mass).sum(1) + 1
-            yield f.assign(parts=[o[: u if a else 1] for o, u, a in zip(order, upto, f["asked"], strict=True)])
-
-    routed = materialize(good.mapInPandas(route, "vec_id long, v array<double>, asked boolean, parts array<int>"), "routed")
-    index = routed.select("vec_id", "v", F.col("parts")[0].alias("part"))
-    asked = routed.where("asked").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("parts").alias("part"))
+            visits = [[-len(v)] for v in f["v"]]  # vectors of another length have a part of their own
+            usual = np.flatnonzero([p == [-width] for p in visits])
+            if len(usual):
+                p = r.chances(np.stack(f["v"].to_numpy()[usual]))
+                order = np.argsort(-p, axis=1, kind="stable").astype(np.int32)
+                upto = (np.cumsum(np.take_along_axis(p, order, 1), 1) < mass).sum(1) + 1
+                for i, o, u in zip(usual, order, upto, strict=True):
+                    visits[i] = o[: u if f["asked"].iloc[i] else 1].tolist()
+            yield f.assign(parts=visits)
+
+    numbered = good.withColumn("rid", F.monotonically_increasing_id())
+    routed = materialize(numbered.mapInPandas(route, "vec_id long, v array<double>, asked boolean, rid long, parts array<int>"), "routed")
+    index = routed.select("rid", "vec_id", "v", F.col("parts")[0].alias("part"))
+    asked = routed.where("asked").select(F.col("rid").alias("query"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("parts").alias("part"))
     sizes = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks"))
     loads = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("shares"))
-    plan = F.broadcast(sizes.join(loads, "part"))  # one row a part
-    candidates = index.join(plan, "part").select("part", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "vec_id", "v")
-    questions = asked.join(plan, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("query_id"), F.col("shares")).cast("int").alias("share"), "query_id", "q")
+    plan = F.broadcast(materialize(sizes.join(loads, "part"), "part-plan"))  # one row a part or length of vectors
+    candidates = index.join(plan, "part").select("part", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "rid", "vec_id", "v")
+    questions = asked.join(plan, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("query"), F.col("shares")).cast("int").alias("share"), "query", "query_id", "q")
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
             right = right.sort_values("vec_id", kind="stable")
-            ids, y = right["vec_id"].to_numpy(), np.stack(right["v"].to_numpy())
-            square = (y * y).sum(1)
-            for query, q in zip(left["query_id"], left["q"], strict=True):
-                q = np.asarray(q, float)
+            ids, rows, y = right["vec_id"].to_numpy(), right["rid"].to_numpy(), np.stack(right["v"].to_numpy())
+            square, asked_rows, asked_ids = (y * y).sum(1), left["query"].to_numpy(), left["query_id"].to_numpy()
+            for at in range(0, len(left), AT_ONCE):
+                qs = np.stack(left["q"].to_numpy()[at : at + AT_ONCE]).astype(float)
                 # The expanded form picks (with a margin for its rounding), the exact one decides.
-                rough = square - 2 * (y @ q)
-                near = np.arange(len(ids))
-                if len(ids) > k + 1:
-                    limit = np.partition(rough, k)[k]
-                    near = np.flatnonzero(rough <= limit + 1e-9 * (1 + abs(limit) + q @ q))
-                near = near[ids[near] != query]
-                d = np.sqrt(((y[near] - q) ** 2).sum(1))
-                top = np.argsort(d, kind="stable")[:k]
-                found.append(pd.DataFrame({"query_id": query, "vec_id": ids[near[top]], "score": d[top]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                rough = square - 2 * (qs @ y.T)
+                for i, q in enumerate(qs):
+                    near = np.arange(len(ids))
+                    if len(ids) > k + 1:
+                        limit = np.partition(rough[i], k)[k]
+                        near = np.flatnonzero(rough[i] <= limit + 1e-9 * (1 + abs(limit) + q @ q))
+                    near = near[rows[near] != asked_rows[at + i]]
+                    d = np.sqrt(((y[near] - q) ** 2).sum(1))
+                    top = np.argsort(d, kind="stable")[:k]
+                    found.append(pd.DataFrame({"query": asked_rows[at + i], "query_id": asked_ids[at + i], "vec_id": ids[near[top]], "score": d[top]}))
+        return pd.concat(found) if found else pd.DataFrame({c: [] for c in FOUND}).astype(FOUND)
 
     keys = ["part", "chunk", "share"]
-    partial = questions.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    partial = questions.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(best, "query long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
     return partial.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -6,8 +6,9 @@ curve over these and the logarithm of the compression ratio (repetitive texts co
 so their difference says less), fitted on labelled rows that did not feed the dictionaries, turns them into a
 probability. Inputs are texts only.
 
-Learning: at most PER_CLASS labelled rows a class, in hash order of the id, and of these, in that order, whole texts
-up to CLASS_BYTES a class (a bounded, documented sample). Rows alternate between the dictionaries and the curve.
+Learning: at most PER_CLASS labelled ids a class, those with the smallest hashes, and of these, in that order, whole
+texts up to CLASS_BYTES a class (a bounded, documented sample); a text of more than a 64th of that is passed over.
+Texts alternate between the dictionaries and the curve.
 
 Defined cases: a null or empty text has all features 0, as a text of equal, uncompressed sizes has; rows without a label are scored like all
 others; where a class has no labelled row, every score is the share of good rows (0.5 if there are none); repeated
@@ -21,10 +22,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from juristrata.llm.common import per_class_sample, small_batches
+from juristrata.llm.common import class_sample, discard, materialize, small_batches
 
 PER_CLASS = 2500
 CLASS_BYTES = 12_000_000
@@ -102,13 +103,30 @@ def fit(rows: list[tuple[int, str]]) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on labelled rows where `learn` (a condition on doc_id) holds."""
-    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(learn & F.col("label").isin(0, 1))
-    order = F.struct(F.xxhash64("doc_id", F.lit(6)), "doc_id")
-    picked = F.broadcast(per_class_sample(marked, "label", order, PER_CLASS))  # at most 2 PER_CLASS rows
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(picked, "doc_id").select("label", F.xxhash64("doc_id", F.lit(6)).alias("h"), "doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"))
-    upto = F.sum("size").over(Window.partitionBy("label").orderBy("h", "doc_id"))
-    got = rows.withColumn("upto", upto).where(F.col("upto") <= CLASS_BYTES).select("h", "doc_id", "label", "text").collect()
-    return fit([(r[2], r[3] or "") for r in sorted(got, key=lambda r: (r[0], r[1], r[2], r[3] or ""))])
+    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(learn & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+    marked = marked.select("doc_id", "label", F.xxhash64("doc_id", F.lit(6)).alias("h"))
+    picked = materialize(class_sample(marked, "label", "h", PER_CLASS).distinct(), "quality-sample")  # at most 2 PER_CLASS rows
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    # Of rows that share an id one text counts, so repeated rows are not learnt from twice.
+    rows = materialize(rows.groupBy("label", "h").agg(F.min("text").alias("text")), "quality-texts")
+    sizes = rows.select("label", "h", F.octet_length("text").alias("size")).collect()
+    chosen = affordable([(r[0], r[1], r[2]) for r in sizes])
+    wanted = docs.sparkSession.createDataFrame(chosen or [(None, None)], "label int, h long")
+    got = rows.join(F.broadcast(wanted), ["label", "h"]).collect()
+    discard(docs.sparkSession, picked)
+    discard(docs.sparkSession, rows)
+    return fit([(r["label"], r["text"]) for r in sorted(got, key=lambda r: (r["h"], r["label"]))])
+
+
+def affordable(sizes: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(label, h) of the texts, in the order of h, that CLASS_BYTES a class has room for. A text that is longer than a
+    64th of that, or that does not fit any more, is passed over and ends nothing."""
+    left, chosen = {0: CLASS_BYTES, 1: CLASS_BYTES}, []
+    for label, h, size in sorted(sizes, key=lambda r: (r[1], r[0])):
+        if size <= min(CLASS_BYTES // 64, left[label]):
+            left[label] -= size
+            chosen.append((label, h))
+    return chosen
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

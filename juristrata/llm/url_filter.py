@@ -1,8 +1,8 @@
 """URL filtering: a rule list, and association rules mined from labelled URLs, with DataFrame functions only.
 
 A URL's tokens are the parts of its host and the words of its path and query, numbers folded into one token.
-Labelled URLs become baskets of tokens plus their label (by default every URL, labelled as blocked where the rule list
-blocks it; what no rule decides counts as not blocked, so a token is not sure only because rules look at it); Spark's
+Labelled URLs become baskets of tokens plus their label (by default those that the rule list decides, with its verdict as
+their label; what no rule decides is what the mined rules judge, and teaches nothing); Spark's
 FP-growth finds the frequent itemsets; those with the block label give rules tokens -> block, pruned by support,
 confidence and lift, and by simpler rules at least as sure. An inverted index holds each rule under its rarest token,
 so a URL meets only rules that share such a token, and all other tokens are then checked.
@@ -55,12 +55,13 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(words(host, "h:"), words(path, "p:"), words(query, "q:")))
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float, min_urls: int = 1) -> DataFrame:
     """(tokens, support, confidence, lift) of rules tokens -> block; labelled has tokens and the boolean blocked."""
     total, blocked = labelled.agg(F.count(F.lit(1)), F.sum(F.col("blocked").cast("long"))).first()
     empty = "tokens array<string>, support double, confidence double, lift double"
     if not total or not blocked:
         return labelled.sparkSession.createDataFrame([], empty)
+    min_support = max(min_support, min_urls / total)
     # Only tokens that are frequent among blocked URLs can be in a rule: others need not enter the trees.
     least = min_support * total
     frequent = labelled.where("blocked").select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= least)
@@ -91,10 +92,11 @@ def match(pages: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     return hits.groupBy(key).agg(F.max("confidence").alias("confidence"), F.max_by(F.concat_ws(" ", "needs"), F.struct("confidence", "rule_id")).alias("matched"))
 
 
-def url_filter(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, min_support: float = 0.002, min_confidence: float = 0.8, min_lift: float = 1.2, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def url_filter(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = None, min_support: float = 0.002, min_confidence: float = 0.8, min_lift: float = 1.2, min_urls: int = 5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """For each row: page_id, host, path, rule, verdict, confidence, matched.
 
-    labels: (page_id, blocked boolean); null: the rule list's own blocks are the labels.
+    A mined rule holds for at least min_support of the labelled URLs, and for min_urls of them.
+    labels: (page_id, blocked boolean); null: the verdicts of the rule list on the URLs that it decides are the labels.
     """
     narrow = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     parts = narrow.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
@@ -102,9 +104,9 @@ def url_filter(pages: DataFrame, rules: list[Rule], labels: DataFrame | None = N
     judged = parts.withColumn("rule", name).withColumn("ruled", verdict).withColumn("tokens", tokens(F.col("url"), F.col("host"), F.col("path"))).withColumn("rid", F.monotonically_increasing_id()).drop("url")
     judged = materialize(judged, "urls")
     if labels is None:
-        labelled = judged.select("tokens", F.coalesce(F.col("ruled") == "block", F.lit(False)).alias("blocked"))
+        labelled = judged.where("rule IS NOT NULL").select("tokens", (F.col("ruled") == "block").alias("blocked"))
     else:
         labelled = judged.join(labels.select(F.col(id_col).alias("page_id"), "blocked").where("blocked IS NOT NULL").groupBy("page_id").agg(F.bool_or("blocked").alias("blocked")), "page_id").select("tokens", "blocked")
-    found = match(judged.where("rule IS NULL").select("rid", "tokens"), mine(labelled, min_support, min_confidence, min_lift), "rid")
+    found = match(judged.where("rule IS NULL").select("rid", "tokens"), mine(labelled, min_support, min_confidence, min_lift, min_urls), "rid")
     method = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return judged.join(found, "rid", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), F.when(F.col("rule").isNull(), F.col("confidence")).alias("confidence"), F.when(F.col("rule").isNull(), F.col("matched")).alias("matched"))

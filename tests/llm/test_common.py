@@ -17,8 +17,35 @@ def test_folding_in_levels(spark, monkeypatch):
 def test_bitmap_filter_loses_nothing(spark):
     keys = spark.range(0, 3000, 7).select(F.xxhash64("id").alias("h"))
     rows = spark.range(3000).select("id", F.xxhash64("id").alias("h"))
-    got = {r["id"] for r in common.pass_filter(rows, F.col("h"), common.bitmap_filter(keys, "h")).collect()}
+    bitmap = common.Bitmap(keys, "h")
+    got = {r["id"] for r in bitmap.keep(rows, F.col("h")).collect()}
     assert set(range(0, 3000, 7)) <= got and len(got) < 1000
+    clear, doubted = bitmap.split(rows, F.col("h"))
+    assert {r["id"] for r in doubted.collect()} == got and clear.count() == 3000 - len(got)
+
+
+def test_filters_follow_the_number_of_keys_up_to_a_bound():
+    assert common.filter_words(0) == 1 << 12 and common.filter_words(10**6) * 64 >= 16 * 10**6 and common.filter_words(10**12) == common.FILTER_WORDS
+
+
+def test_hot_keys_meet_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 10)
+    rows = spark.createDataFrame([(0 if i < 500 else i % 40, i) for i in range(900)], "k long, i long")
+    unique = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    met = common.meet(rows, unique, "k", "n", "i").cache()
+    assert sorted((r["k"], r["i"]) for r in met.collect()) == sorted((r["k"], r["i"]) for r in rows.collect())
+    assert met.where("k = 0").groupBy("n").count().collect()[0]["count"] == met.where("k = 0").first()["n"]
+
+
+def test_scratch_tables_are_deleted(spark):
+    scratch = common.Scratch(spark)
+    a, b = scratch.table(spark.range(3), "a"), scratch.table(spark.range(4), "b")
+    path = a.inputFiles()[0].rpartition("/")[0].removeprefix("file://").removeprefix("file:")
+    import os
+
+    assert os.path.isdir(path)
+    scratch.close(b)
+    assert not os.path.isdir(path) and b.count() == 4
 
 
 def test_gathering_batches():

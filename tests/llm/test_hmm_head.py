@@ -1,13 +1,9 @@
-"""The model's head where a level of equally frequent words does not fit whole."""
+"""The words whose counts are broadcast."""
 
 from juristrata.llm import hmm
 
 
-def test_head_is_filled_from_the_level_that_crosses_its_limit(spark):
-    counts = spark.createDataFrame([(f"w{k}".encode(), 3) for k in range(50)], "word binary, n long").repartition(3)
-    level = hmm.head_words(counts, 20)
-    assert len({bytes(w) for w, _ in level}) == 20 and all(n == 3 for _, n in level)
-    more = counts.unionByName(spark.createDataFrame([(b"often", 9), (b"once", 1)], "word binary, n long"))
-    got = [bytes(w) for w, _ in hmm.head_words(more, 21)]
-    assert got[0] == b"often" and got[1:] == [bytes(w) for w, _ in level]
-    assert len(hmm.head_words(more, 51)) == 51 and len(hmm.head_words(more, 100)) == 52
+def test_head_holds_whole_levels_of_counts_within_its_limit(spark):
+    counts = spark.createDataFrame([(f"w{k}".encode(), 3) for k in range(50)] + [(b"often", 9), (b"once", 1)], "word binary, n long").repartition(3)
+    assert hmm.head_words(counts, 21) == [(b"often", 9)] and hmm.head_words(counts, 0) == []
+    assert len(hmm.head_words(counts, 51)) == 51 and len(hmm.head_words(counts, 100)) == 52

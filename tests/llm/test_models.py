@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 from collections import Counter
 
@@ -13,6 +14,7 @@ from tokenizers import Tokenizer
 
 from juristrata.llm import bpe, hmm, language_id, mixing, neighbours, quality, url_filter
 
+SF = os.environ.get("TEST_NEIGHBOURS_DIR", "/root/testdata/sf0.1")
 EXTRA = ", learn string, h string, row string, key string, n string"
 
 
@@ -103,31 +105,55 @@ def test_recursions_equal_the_sum_over_paths():
 def test_long_texts_go_through_in_pieces(monkeypatch):
     parts = random_hmm()
     codes = [np.random.default_rng(i).integers(0, 7, n).astype(np.int32) for i, n in enumerate((5, 100, 333, 1))]
-    whole = hmm.likelihoods(codes, *parts)
-    monkeypatch.setattr(hmm, "LONGEST", 10)
-    assert np.allclose(hmm.likelihoods(codes, *parts), whole)
-
-
-@pytest.mark.parametrize("head", [3, 1000])
-def test_scores(spark, head):
-    """Base scores and counts against their definition; and all words of a text against one table of probabilities."""
-    docs = [(i, " ".join(random.Random(i).choice(["the", "cat", "sat", "on", "mat", f"w{i % 7}"]) for _ in range(i % 9))) for i in range(60)] + [(100, None), (101, ""), (102, "Unknown WORDS the Ünknown")]
+    whole, counts = hmm.likelihoods(codes, *parts), hmm.expectations(codes, *parts)
+    for steps in (1, 7, 10, 100):
+        monkeypatch.setattr(hmm, "LONGEST", steps)
+        assert np.allclose(hmm.likelihoods(codes, *parts), whole)
+        assert all(np.allclose(got, want) for got, want in zip(hmm.expectations(codes, *parts), counts, strict=True))
+
+
+@pytest.mark.parametrize("head, longest", [(0, 2), (3, 1024), (1000, 1024)])
+def test_scores(spark, monkeypatch, head, longest):
+    """Base scores and counts against their definition; scores against a model that is trained and applied by sums over
+    all paths of states. Neither the broadcast head nor the length of pieces changes a score."""
+    monkeypatch.setattr(hmm, "STATES", 2)
+    monkeypatch.setattr(hmm, "LONGEST", longest)
+    docs = [(i, " ".join(random.Random(i).choice(["the", "cat", "sat", "on", "mat", f"w{i % 7}"]) for _ in range(i % 7))) for i in range(60)] + [(100, None), (101, ""), (102, "Unknown WORDS the Ünknown")]
     learn = F.col("doc_id") < 50
-    got = {r["doc_id"]: r for r in hmm.score_corpus(frame(spark, docs), learn, head=head).collect()}
-    c = Counter()
-    for i, t in docs:
-        if i < 50:
-            c.update((t or "").lower().split() + [None])
+    symbols = 4  # fewer than words, so that some share a class
+    got = {r["doc_id"]: r for r in hmm.score_corpus(frame(spark, docs), learn, rounds=2, head=head, symbols=symbols).collect()}
+    tokens_of = lambda t: (t or "").encode().lower().split() + [None]
+    c = Counter(w for i, t in docs if i < 50 for w in tokens_of(t))
     n, v = sum(c.values()), len(c)
+    unigram = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
+    symbol = lambda w: 0 if w is None else hmm.symbol_of(w, symbols)
+    classes = {k: [w for w in c if w is not None and symbol(w) == k] for k in range(1, symbols + 1)}
+    of_class = [unigram(None), *[sum(map(unigram, ws)) + 0.1 / (n + 0.1 * (v + 1)) for ws in classes.values()]]
+    model = hmm.Model(np.array([sum(c[w] for w in ws) for ws in classes.values()], float), np.array([len(ws) for ws in classes.values()], float), c[None])
+    assert np.allclose(model.unigram, of_class) and max(map(len, classes.values())) > 1
+    codes = {i: np.array([symbol(w) for w in tokens_of(t)]) for i, t in docs}
+    for _ in range(2):
+        model.update(*[sum(x) for x in zip(*(counts_over_paths(codes[i], model.start, model.move, model.emit) for i in range(50)), strict=True)])
     for i, t in docs:
-        tokens = (t or "").encode().lower().decode().split() + [None]
-        base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
-        r = got[i]
+        tokens, r = tokens_of(t), got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(c[w] > 0 for w in tokens), n)
-        assert abs(r["base_score"] - base) < 1e-9 and r["score"] < 0
+        assert abs(r["base_score"] - sum(math.log10(unigram(w)) for w in tokens)) < 1e-9
+        p = sum_over_paths(codes[i], model.start, model.move, model.emit)
+        inside = sum(math.log10(unigram(w) / of_class[symbol(w)]) for w in tokens)
+        assert abs(r["score"] - (math.log10(p) + inside)) < 1e-4
     assert hmm.score_corpus(frame(spark, docs).where("doc_id > 999"), learn).count() == 0
 
 
+def test_class_of_a_word_is_that_of_the_sql_function(spark):
+    ws = [b"", b"a", "\u00fcber".encode(), b"w" * 100]
+    rows = spark.createDataFrame([(w, k + 1) for k, w in enumerate(ws)], "word binary, n long")
+    tokens, distinct = hmm.class_counts(rows, 16)
+    assert [tokens[hmm.symbol_of(w, 16) - 1] for w in ws] and sum(tokens) == 10 and sum(distinct) == 4
+    for k, w in enumerate(ws):
+        one, _ = hmm.class_counts(rows.where(F.col("n") == k + 1), 1 << 16)
+        assert one[hmm.symbol_of(w, 1 << 16) - 1] == k + 1
+
+
 def test_training_helps_on_held_out_texts(spark):
     r = random.Random(5)
     langs = [[f"{p}{i}" for i in range(40)] for p in "abc"]
@@ -225,6 +251,41 @@ def test_neighbours_in_chunks(spark, monkeypatch):
     assert all([i for _, i in sorted(got[q])] == [i for _, i in exact(vectors, q, 5)] for q in range(0, 80, 10))
 
 
+def test_every_row_of_a_repeated_query_is_a_query(spark):
+    """Only the own row is left out; other rows with the query's id, and copies under other ids, are candidates."""
+    r = np.random.default_rng(11)
+    rows = [(i, r.normal(0, 1, 4).tolist()) for i in range(40)]
+    rows += [rows[0]] * 3 + [(7, rows[0][1])] + [(50 + i, r.normal(0, 1, 3).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((x["query_id"], x["rank"], x["vec_id"], round(x["score"], 9)) for x in neighbours.nearest(df, F.col("vec_id").isin(0, 60), k=10, mass=2.0).collect())
+    want = []
+    for at, (i, v) in enumerate(rows):
+        if i in (0, 60):
+            near = sorted((float(np.sqrt(((np.array(w) - np.array(v)) ** 2).sum())), j) for other, (j, w) in enumerate(rows) if other != at and len(w) == len(v))
+            want += [(i, n, j, round(d, 9)) for n, (d, j) in enumerate(near[:10], 1)]
+    assert got == sorted(want) and sum(g[0] == 0 for g in got) == 40
+
+
+def test_parts_grow_with_the_rows():
+    assert [neighbours.parts_of(n, 8192) for n in (0, 1000, 50_000, 200_000, 10**6, 10**9)] == [16, 16, 16, 32, 72, 128]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_recall_on_the_embeddings_table(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in rows.collect()}
+    ids, y = list(vectors), np.stack(list(vectors.values()))
+    got = {}
+    for x in neighbours.nearest(rows, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(x["query_id"], set()).add(x["vec_id"])
+    hits = 0
+    for q, found in got.items():
+        d = np.sqrt(((y - vectors[q]) ** 2).sum(1))
+        near = [ids[i] for i in np.argsort(d, kind="stable") if ids[i] != q][:10]
+        hits += len(found & set(near))
+    assert set(got) == {i for i in ids if i % 100 == 0} and hits >= 9 * len(got)
+
+
 def test_few_or_no_vectors(spark):
     rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 3.0]), (100, None)], "vec_id long, embedding array<double>")
     assert [tuple(x) for x in neighbours.nearest(rows, F.col("vec_id") % 100 == 0).collect()] == [(0, 1, 1, 1.0)]
@@ -275,6 +336,42 @@ def test_method_judges_what_no_rule_fits(spark):
     assert all(got[i] == ("block" if i % 2 else "allow") for i in range(40))
 
 
+def test_the_whole_filter_equals_brute_force(spark):
+    """Rules first; what they decide is mined, and what they leave open is judged by the mined rules."""
+    r = random.Random(14)
+    urls = []
+    for _ in range(300):
+        tld, lang, word = r.choice(["com", "net", "org"]), r.choice(["en", "fr", "es", "de"]), r.choice(["shop", "casino", "blog"])
+        urls.append(f"http://{word}.{r.choice(['example', 'other'])}.{tld}/{lang}/{r.randrange(100)}" + r.choice(["", "?ref=x", "#top"]))
+    rows = spark.createDataFrame(list(enumerate([*urls, None, "none"])), "page_id long, url string").repartition(3)
+    got = {x["page_id"]: (x["rule"], x["verdict"]) for x in url_filter.url_filter(rows, RULES, min_support=0.05, min_confidence=0.9, min_lift=1.1).collect()}
+
+    def judged(url):
+        host, _, rest = url.partition("://")[2].partition("/")
+        path, best = "/" + rest.partition("?")[0].partition("#")[0], None
+        for verdict, rule in RULES:
+            at, _, prefix = rule.partition("/")
+            if (host == at or host.endswith("." + at)) and path.startswith("/" + prefix) and (best is None or len(rule) > len(best[1])):
+                best = (verdict, rule)
+        number = lambda w: "#" if w.isdigit() else w
+        found = {"h:" + number(w) for w in host.split(".")} | {"p:" + number(w) for w in path.split("/") if w}
+        return best, found | {"q:" + w for w in (["ref", "x"] if "?ref=x" in url else [])}
+
+    parsed = {i: judged(u) for i, u in enumerate(urls)}
+    known = [(b[0] == "block", t) for b, t in parsed.values() if b]
+    share, surest = sum(b for b, _ in known) / len(known), {}
+    for size in range(1, 8):
+        for combo in {c for b, t in known if b for c in itertools.combinations(sorted(t), size)}:
+            every, both = sum(set(combo) <= t for _, t in known), sum(b and set(combo) <= t for b, t in known)
+            if both >= max(0.05 * len(known), 5) and both / every >= 0.9 and both / every / share >= 1.1:
+                surest[combo] = both / every
+    for i, (best, found) in parsed.items():
+        method = "block" if any(set(c) <= found for c in surest) else "allow"
+        assert got[i] == ((best[1], best[0]) if best else (None, method))
+    undecided = [got[i][1] for i, (best, _) in parsed.items() if not best]
+    assert got[300] == got[301] == (None, "allow") and {"block", "allow"} == set(undecided)
+
+
 # Mixing
 
 def rows_of(spark, sizes):

@@ -3,10 +3,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from juristrata.llm import components, exact_dedup, line_dedup, minhash
+from juristrata.llm.common import Bitmap, Scratch, filter_words
 
 TEXT = "doc_id long, text string, lang string, _id string, digest string"
 
@@ -78,6 +80,43 @@ def test_near_dedup_of_a_hot_group(spark):
     assert sorted(((i, len(s), got[i]) for i, s in sets_of(docs, 5)), key=repr) == classes(docs, 5, 80, 100)
 
 
+def test_family_just_below_the_threshold_makes_no_rows(spark, monkeypatch):
+    """Copies of one text, each with its own changes: near its threshold to one another, and few linked. Tasks compare
+    them in parts and give fewer links than there are members, never pairs."""
+    monkeypatch.setattr(minhash, "PART_ROWS", 40)
+    r = random.Random(12)
+    base = [f"w{r.randrange(3000)}" for _ in range(150)]
+    docs = []
+    for m in range(200):
+        w = list(base)
+        for _ in range(2 + m % 6):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        docs.append((m, " ".join(w)))
+    given, inside = [], minhash.links_inside
+
+    def watched(open_rows, *more):
+        links = inside(open_rows, *more)
+        parts = open_rows.groupBy("key").count().selectExpr("sum(count * ceil(count / 40)) AS n").first()["n"]
+        given.append((links.count(), parts, open_rows.select("node").distinct().count()))
+        return links
+
+    monkeypatch.setattr(minhash, "links_inside", watched)
+    got = minhash.near_dedup(frame(spark, docs), 5).collect()
+    assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got), key=repr) == classes(docs, 5, 80, 100)
+    (links, most, members), = given
+    assert members > 50 and links < min(most, 4 * members)
+
+
+def test_similar_equals_plain_sets():
+    r = random.Random(13)
+    sets = [np.unique(np.array([r.randrange(400 + 4000 * (k % 2)) for _ in range(r.choice([1, 30, 300]))], np.uint64)) for k in range(40)]
+    sets += [np.append(s[:-1], np.uint64(10**6 + k)) for k, s in enumerate(sets)]
+    i, j = np.triu_indices(len(sets), 1)
+    got = {p for a, b in minhash.similar(sets, [(i, j)], (80, 100)) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    plain = [set(s.tolist()) for s in sets]
+    assert got == {(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if 100 * len(plain[a] & plain[b]) >= 80 * len(plain[a] | plain[b])} and got
+
+
 def test_near_dedup_of_nothing_and_of_a_long_text(spark):
     assert minhash.near_dedup(frame(spark, [(1, "a")]).where("doc_id > 1")).count() == 0
     r = random.Random(4)
@@ -133,7 +172,36 @@ def test_exact_dedup_survives_colliding_digests(spark):
 def test_keep_first_copies(spark):
     got = exact_dedup.keep_first_copies(frame(spark, COPIES))
     assert got.columns == ["doc_id", "text", "lang", "_id", "digest"]
-    assert sorted((r["doc_id"] for r in got.collect()), key=repr) == sorted([2, 6, 7, None, 10], key=repr) or sorted((r["doc_id"] for r in got.collect()), key=repr) == sorted([9, 6, 7, None, 10], key=repr)
+    assert sorted((r["doc_id"] for r in got.collect()), key=repr) == sorted([2, 6, 7, None, 10], key=repr)
+
+
+def test_filters_of_runs_are_probed_and_levels_compact(spark, monkeypatch):
+    """Only entries whose bit another entry set are merged by a shuffle; runs become fewer level by level."""
+    monkeypatch.setattr(exact_dedup, "FAN_IN", 2)
+    docs = spark.createDataFrame([(i, f"own {i}" if i % 10 else f"shared {i % 30}") for i in range(300)], "doc_id long, text string").repartition(7)
+    scratch = Scratch(spark)
+    runs = exact_dedup.flush(docs, scratch)
+    assert {r["run"] for r in runs.select("run").distinct().collect()} == set(range(7))
+    entries = runs.select("digest", F.struct((-F.col("n_chars")).alias("shorter"), "doc_id", "rid").alias("best"), F.lit(1).cast("long").alias("size"), "run")
+    to = entries.withColumn("to", F.expr("run div 2").cast("int"))
+    words = filter_words(300)
+    bits = exact_dedup.meeting_bits(exact_dedup.run_filters(to, words))
+    alone, hits = Bitmap.of(words, bits).split(to, F.xxhash64("digest", "to"))
+    twice = {(r["digest"], r["to"]) for r in to.groupBy("digest", "to").count().where("count > 1").collect()}
+    met = {(r["digest"], r["to"]) for r in hits.collect()}
+    assert twice and twice <= met and len(met - twice) < 30 and not twice & {(r["digest"], r["to"]) for r in alone.collect()}
+    level = exact_dedup.compact(entries, scratch, 300)
+    assert {r["run"] for r in level.select("run").distinct().collect()} == {0, 1, 2, 3}
+    assert level.groupBy("run", "digest").count().where("count > 1").count() == 0 and level.agg(F.sum("size")).first()[0] == 300
+    last = exact_dedup.compacted(runs, scratch)
+    assert last.count() == 273 == last.select("digest").distinct().count()
+    assert sorted(r["keep_id"] for r in last.where("group_size = 10").collect()) == [0, 10, 20]
+
+
+def test_filters_of_one_word_lose_no_copy(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "filter_words", lambda n: 1)
+    got = exact_dedup.exact_dedup(frame(spark, COPIES)).collect()
+    assert sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["digest"]) for r in got), key=repr) == brute_copies(COPIES)
 
 
 LINES = [(i, f"Header\n own line {i}\n\theader \nseldom{i % 5}\n\n" + "x" * (i % 3)) for i in range(20)] + [(50, None), (51, ""), (52, "HEADER"), (52, "HEADER"), (53, "no\nnewline at end\n"), (54, "a\r\n" * 3), (55, "line " * 20_000)]
