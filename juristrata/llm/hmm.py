@@ -41,8 +41,8 @@ TEXTS = 4096
 LONGEST = 1 << 10
 """Steps of the recursion whose arrays are held at once; longer texts go through in pieces, with the states carried over."""
 END = 0
-ADD, BLEND = 0.1, 0.1
-"""Added count of the unigram model; share of the unigram in the emissions of a state."""
+ADD, PRIOR = 0.1, 4.0
+"""Added count of the unigram model; added occurrences of a symbol in the emissions of the states."""
 HELD = 200_000
 SEED = 42
 """Of the SQL function xxhash64, which sums up the counts of the classes."""
@@ -109,10 +109,13 @@ class Model:
         return math.log10((count + ADD) / self.total)
 
     def update(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-        """The maximisation step on expected counts, the emissions blended with the unigram."""
+        """The maximisation step on expected counts. The states in which a symbol occurs are smoothed by PRIOR occurrences
+        dealt like all tokens, so a rare symbol keeps nearly its unigram probability in every state."""
         self.start = (start + 1) / (start + 1).sum()
         self.move = (move + 1) / (move + 1).sum(1, keepdims=True)
-        emit = (1 - BLEND) * (emit + self.unigram[:, None]) / (emit.sum(0) + 1) + BLEND * self.unigram[:, None]
+        state = (emit.sum(0) + 1) / (emit.sum(0) + 1).sum()
+        inside = (emit + PRIOR * state) / (emit.sum(1, keepdims=True) + PRIOR)
+        emit = self.unigram[:, None] * inside / state
         self.emit = emit / emit.sum(0)
 
 
