@@ -233,6 +233,11 @@ def model_items(output: Column) -> Column:
     return F.coalesce(unwrap(whole), unwrap(inner))
 
 
+def unique(values: Column) -> Column:
+    """An array without repeats, in the order of first occurrence."""
+    return F.array_distinct(values)
+
+
 def display_label(name: Column, size: int = 25) -> Column:
     """A short label for drawing: without the file mark, cut with an ellipsis."""
     plain = F.replace(name, F.lit(".xml_"), F.lit(" s."))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from juristrata.functions.text import extract_act_name, model_items, normalize_action, normalize_citation, self_amendment, strip
+from juristrata.functions.lexicon import CANONICAL_ACTIONS
+from juristrata.functions.text import extract_act_name, last_body, model_items, normalize_action, normalize_citation, self_amendment, strip
 from juristrata.operators.corpus import first_by_key
 
 
@@ -24,24 +26,62 @@ def smart_batch(chunks: DataFrame, n: int) -> DataFrame:
     return rows.where("_hot").unionByName(cold).orderBy("seq").limit(n).drop("_hot")
 
 
-def extract(prompts: DataFrame, extractor: Callable[[list[str]], list[str | None]], workers: int = 8, batch: int = 32) -> DataFrame:
+def processable(chunks: DataFrame, least: int = 50) -> DataFrame:
+    """Judgment chunks whose text, without the head before it, has at least so many characters."""
+    return chunks.where((F.col("source") == "judgment") & (F.length(last_body(F.col("content"))) >= least))
+
+
+def system_prompt(source: Column) -> Column:
+    """The prompt that fixes what a model must answer, by the kind of document."""
+    return F.when(source == "judgment", F.lit(JUDGMENT_PROMPT)).otherwise(F.lit(LEGISLATION_PROMPT))
+
+
+ANSWER = (
+    "Answer with a JSON array only, and with [] if there is none. Each item is an object with the fields action,"
+    " target_citation, detail_text and effective_date (null where the text gives none), and names one target: if a"
+    f" provision concerns several, give an item for each. The actions are {', '.join(CANONICAL_ACTIONS)}."
+)
+LEGISLATION_PROMPT = f"You read one provision of legislation and list how it changes, or refers to, other legislation. {ANSWER}"
+JUDGMENT_PROMPT = f"You read one paragraph of a judgment and list the legislation and the cases that it applies, interprets or cites, by their full names. {ANSWER}"
+
+NOTHING = "[]"
+
+
+def extract(prompts: DataFrame, extractor: Callable[[list[str]], list[str | None]], workers: int = 8, batch: int = 32, attempts: int = 3, wait: float = 5.0, done: DataFrame | None = None) -> DataFrame:
     """(id, output) from an injected model: prompts (id, prompt) are dealt to `workers` partitions, and the extractor is
-    called with lists of prompts. What fails is null, so a later run takes it up again."""
+    called with lists of prompts.
+
+    Timeouts and lost connections are tried again, after wait, twice wait, ... seconds; what still fails is null, so a
+    later run takes it up again. After any other error a list goes through prompt by prompt, and a prompt that fails
+    alone gives no items. Ids in done (a table of earlier outputs) that have an output are left out: with `done` read
+    from where the outputs are appended, a run that was cut off goes on where it stopped."""
+
+    def ask(part: list[str]) -> list[str | None]:
+        for k in range(attempts):
+            try:
+                return list(extractor(part))
+            except Exception as e:  # whatever the injected model raises
+                passing = isinstance(e, ConnectionError | TimeoutError) or any(w in str(e).lower() for w in ("timeout", "connection"))
+                if not passing:
+                    return [NOTHING] if len(part) == 1 else [x for p in part for x in ask([p])]
+                time.sleep(wait * (k + 1))
+        return [None] * len(part)
 
     def run(frames):
         for frame in frames:
-            out = []
-            for at in range(0, len(frame), batch):
-                part = frame["prompt"].iloc[at : at + batch].tolist()
-                try:
-                    out += extractor(part)
-                except (ConnectionError, TimeoutError):
-                    out += [None] * len(part)
+            out = [x for at in range(0, len(frame), batch) for x in ask(frame["prompt"].iloc[at : at + batch].tolist())]
             yield pd.DataFrame({"id": frame["id"], "output": pd.Series(out, index=frame.index, dtype=object)})
 
+    if done is not None:
+        prompts = prompts.join(done.where("output IS NOT NULL").select("id"), "id", "left_anti")
     return prompts.select("id", "prompt").repartition(workers).mapInPandas(run, "id string, output string")
 
 
+def from_offset(chunks: DataFrame, offset: int) -> DataFrame:
+    """The chunks from a position on, to resume by hand."""
+    return chunks.where(F.col("seq") >= offset)
+
+
 def parsed(outputs: DataFrame, output: str = "output") -> DataFrame:
     """One row for each item of a model's output, with its fields."""
     items = outputs.withColumn("item", F.explode(model_items(F.col(output))))
@@ -80,9 +120,12 @@ def post_process(triples: DataFrame) -> DataFrame:
     return rows.withColumn("is_self_amendment", self_amendment(F.col("source_title"), F.col("target_act_name")))
 
 
-def sampling_confidence(samples: DataFrame, runs: int, least: float = 0.4) -> DataFrame:
-    """How often (action, citation) occurs over several runs on a chunk; samples: chunk, run, ord, action, citation, detail.
+def sampling_confidence(samples: DataFrame, runs: DataFrame, least: float = 0.4) -> DataFrame:
+    """How often (action, citation) occurs over the runs on a chunk that succeeded; samples: chunk, run, ord, action,
+    citation, detail; runs: (chunk, run) of every run that gave an answer, an empty one included.
 
     A record with a detail is preferred, then the earliest."""
     grouped = samples.groupBy("chunk", "action", "citation").agg(F.count_distinct("run").alias("seen"), F.min_by("detail", F.struct(F.col("detail").isNull(), "run", "ord")).alias("detail"))
-    return grouped.withColumn("confidence", F.round(F.col("seen") / F.lit(runs), 2)).where(F.col("confidence") >= least).drop("seen")
+    won = runs.groupBy("chunk").agg(F.count_distinct("run").alias("runs"))
+    share = F.col("seen") / F.col("runs")
+    return grouped.join(won, "chunk").where(share >= least).withColumn("confidence", F.round(share, 2)).drop("seen", "runs")

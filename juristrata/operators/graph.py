@@ -165,9 +165,19 @@ def chains(edge_rows: DataFrame, acts: DataFrame) -> DataFrame:
 
 
 def conflicts(edge_rows: DataFrame) -> DataFrame:
-    """Targets that are amended by one act and repealed by another."""
-    by = edge_rows.where(F.col("action_type").isin("AMENDS", "REPEALS", "INSERTS", "CITES")).select("target", "action_type", id_prefix(F.col("source_id")).alias("act"))
-    return by.groupBy("target").agg(F.count_distinct("act").alias("acts"), F.count_distinct("action_type").alias("actions")).where("acts > 1 AND actions > 1")
+    """(target, amending, repealing): targets that one act amends and another repeals, with the numbers of such acts."""
+    by = edge_rows.where(F.col("action_type").isin("AMENDS", "REPEALS")).select("target", "action_type", id_prefix(F.col("source_id")).alias("act"))
+    # One row an act first, so a target that very many edges have is pre-aggregated.
+    acts = by.groupBy("target", "act").agg(F.bool_or(F.col("action_type") == "AMENDS").alias("amends"), F.bool_or(F.col("action_type") == "REPEALS").alias("repeals"))
+    found = acts.groupBy("target").agg(F.count_if("amends").alias("amending"), F.count_if("repeals").alias("repealing"), F.count(F.lit(1)).alias("acts"))
+    return found.where("amending > 0 AND repealing > 0 AND acts > 1").drop("acts")
+
+
+def label_counts(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
+    """(kind, name, n): nodes by label and type, and edges by action."""
+    nodes_by = node_rows.groupBy(F.concat_ws(" ", "label", F.coalesce("type", F.lit("cited"))).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    edges_by = edge_rows.groupBy(F.col("action_type").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return nodes_by.select(F.lit("node").alias("kind"), "name", "n").unionByName(edges_by.select(F.lit("edge").alias("kind"), "name", "n"))
 
 
 def display_nodes(edge_rows: DataFrame) -> DataFrame:

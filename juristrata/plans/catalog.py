@@ -164,11 +164,12 @@ def caselaw_cleanup(i):
     return extract.caselaw_cleanup(rows).select("seq", "action", F.col("target_citation").alias("target"), F.col("detail_text").alias("detail"), F.col("effective_date").alias("date"))
 
 
-@query(sql_with("""SELECT chunk, action, citation, round(seen / 5.0, 2) AS confidence, detail FROM (
-      SELECT source_id AS chunk, action_type AS action, target AS citation, count(DISTINCT seq % 5) AS seen, coalesce(arg_min(detail, seq % 5 * 100000000 + seq) FILTER (detail IS NOT NULL), NULL) AS detail FROM t GROUP BY ALL) WHERE round(seen / 5.0, 2) >= 0.4""", "t"))
+@query(sql_with("""SELECT chunk, action, citation, round(seen / runs, 2) AS confidence, detail FROM (
+      SELECT source_id AS chunk, action_type AS action, target AS citation, count(DISTINCT seq % 5) AS seen, coalesce(arg_min(detail, seq % 5 * 100000000 + seq) FILTER (detail IS NOT NULL), NULL) AS detail FROM t GROUP BY ALL)
+      JOIN (SELECT source_id AS chunk, count(DISTINCT seq % 5)::DOUBLE AS runs FROM t_raw GROUP BY 1) USING (chunk) WHERE seen / runs >= 0.4""", "t"))
 def sampling_confidence(i):
     rows = i.t.selectExpr("source_id AS chunk", "seq % 5 AS run", "seq AS ord", "action_type AS action", "target AS citation", "detail")
-    return extract.sampling_confidence(rows, runs=5)
+    return extract.sampling_confidence(rows, i.t_raw.selectExpr("source_id AS chunk", "seq % 5 AS run"))
 
 
 # Graph
@@ -302,7 +303,7 @@ def concept_counts(i):
     return graph.concept_counts(_links(i), _names(i, CONCEPTS))
 
 
-@query(sql_with(f"SELECT DISTINCT l.concept, e.source_id, e.action_type FROM ({_LINKS}) l JOIN e_li e ON e.target = l.p_partkey::VARCHAR WHERE e.seq % 7 = 0", "titles", "e_li"))
+@query(sql_with(f"SELECT DISTINCT l.concept, e.source_id, e.action_type FROM ({_LINKS}) l JOIN e_li e ON e.target = l.p_partkey::VARCHAR", "titles", "e_li"))
 def concept_browse(i):
     links = _links(i).select(F.col("p_partkey").cast("string").alias("target"), "concept")
     # Each edge once before the join, which carries no repeats.
@@ -341,9 +342,22 @@ def multi_hop(i):
     return graph.chains(i.edges, i.titled)
 
 
-@query(sql_with(r"""SELECT target, count(DISTINCT regexp_replace(source_id, '(?s)^(.*)\.xml_.*$', '\1')) AS acts, count(DISTINCT action_type) AS actions FROM edges WHERE action_type IN ('AMENDS', 'REPEALS', 'INSERTS', 'CITES') GROUP BY target HAVING acts > 1 AND actions > 1""", "edges"))
+@query(sql_with(r"""SELECT target, count(DISTINCT source_id) FILTER (action_type = 'AMENDS') AS amending, count(DISTINCT source_id) FILTER (action_type = 'REPEALS') AS repealing FROM e_li a
+    WHERE EXISTS (SELECT 1 FROM e_li x JOIN e_li y ON x.target = y.target AND x.action_type = 'AMENDS' AND y.action_type = 'REPEALS' AND x.source_id <> y.source_id WHERE x.target = a.target) GROUP BY target""", "e_li"))
 def conflict_sections(i):
-    return graph.conflicts(i.edges)
+    return graph.conflicts(i.e_li)
+
+
+@query(sql_with("""SELECT 'edge' AS kind, action_type AS name, count(*) AS n FROM edges GROUP BY 2
+    UNION ALL SELECT 'node', 'LegalDoc ' || CASE WHEN regexp_matches(source_id, '^(uksc|ewca)') THEN 'judgment' ELSE 'legislation' END, count(DISTINCT source_id) FROM enriched GROUP BY 2
+    UNION ALL SELECT 'node', 'LegalDoc cited', count(DISTINCT target) FROM t""", "edges", "enriched"))
+def label_counts(i):
+    return graph.label_counts(graph.nodes(graph.enrich(i.t, i.own_chunks)), i.edges)
+
+
+@query(sql_with("SELECT id, 50 <= length(trim(regexp_extract(content, '(?s)^.*\\| TEXT:(.*)$', 1), E' \\t\\n\\r\\f\\v')) AS long FROM chunks WHERE source = 'judgment' AND long", "chunks"))
+def processable_caselaw(i):
+    return extract.processable(i.chunks).select("id", F.lit(True).alias("long"))
 
 
 @query(sql_with(r"SELECT act, count(*) AS n FROM (SELECT regexp_replace(source_id, '(?s)^(.*)\.xml_.*$', '\1') AS act FROM edges) GROUP BY act ORDER BY n DESC, act LIMIT 10", "edges"))
@@ -428,7 +442,7 @@ def short_chunks(i):
 
 
 @query(sql_with(f"""SELECT count(*) AS triples, count(*) FILTER (action IN ({strings(CANONICAL_ACTIONS)})) AS canonical, count(*) FILTER (action NOT IN ({strings(CANONICAL_ACTIONS)})) AS other, count(*) FILTER (contains(lower(target_citation), lower(source_title))) AS self_amendments,
-    count(effective_date) AS dated, count(detail_text) AS detailed, 0 AS no_target, 0 AS no_source FROM (SELECT * REPLACE (upper(action) AS action) FROM t_raw)""", "t_raw"))
+    count(effective_date) AS dated, count(detail_text) AS detailed, count(*) FILTER (coalesce(trim(target_citation), '') = '') AS no_target, count(*) FILTER (coalesce(trim(source_id), '') = '') AS no_source FROM (SELECT * REPLACE (upper(action) AS action) FROM t_raw)""", "t_raw"))
 def triple_quality(i):
     rows = i.t_raw.withColumns({"action": F.upper("action"), "is_self_amendment": P.self_amendment(F.col("source_title"), F.col("target_citation"))})
     return quality.triple_report(rows)
@@ -565,7 +579,7 @@ def semantic_enrich(i):
 
 
 @query(f"""SELECT query_id, vec_id AS pos, similarity, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {_DOT} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, e.vec_id) AS rank
-    FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q) WHERE rank <= 5""")
+    FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 5""")
 def topk_per_query(i):
     vectors = i.table("embeddings")
     return search.batch_top_k(vectors, vectors.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS q"), 5, pos="vec_id").select("query_id", "pos", "similarity", "rank")
@@ -646,10 +660,14 @@ def stream_accumulate(i):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """The session's shared folder for checkpoints; a local one only where none is set."""
+    """The session's shared folder for checkpoints; where none is set, a local session gets a folder of its own."""
     import tempfile
 
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="juristrata-")).rstrip("/")
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="juristrata-")
 
 
 def _folder(i, name: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from juristrata.functions.lexicon import ACT_TYPES, ENUMERATED_TYPES, ENUMERATED_YEARS, INSTRUMENT_TYPES, SUBJECTS, TITLE_KEYWORDS
@@ -101,7 +101,63 @@ def new_documents(wanted: DataFrame, have: DataFrame) -> DataFrame:
 
 
 def well_formed(contents: DataFrame) -> DataFrame:
-    return contents.where(F.trim(F.decode("content", F.lit("UTF-8"))).startswith("<"))
+    """Contents (bytes) that begin with '<', white space aside; null contents are none."""
+    blanks = F.encode(F.lit(" \t\n\r\x0b\x0c"), "UTF-8")
+    return contents.where(F.startswith(F.btrim("content", blanks), F.encode(F.lit("<"), "UTF-8")))
+
+
+DOCUMENT = "file string, content binary, kind string"
+
+
+def save_documents(fetched: DataFrame, path: str, kind: Column | None = None) -> None:
+    """Append fetched documents (file, type, content) to the stored ones: acts under kind=act, all others under kind=other,
+    or as the column kind says. What is stored already is skipped, and so is content that is no XML."""
+    spark = fetched.sparkSession
+    rows = well_formed(fetched).withColumn("kind", F.when(F.col("type") == "ukpga", "act").otherwise("other") if kind is None else kind)
+    new = rows.join(stored_documents(spark, path).select("file", "kind"), ["file", "kind"], "left_anti")
+    new.select("file", "content", "kind").dropDuplicates(["file", "kind"]).write.mode("append").partitionBy("kind").parquet(path)
+
+
+def save_effects(fetched: DataFrame, path: str) -> None:
+    """The same for change feeds, which are named after the document that they affect."""
+    save_documents(fetched.withColumn("file", F.concat("file", F.lit("_effects"))), path, F.lit("effects"))
+
+
+def stored_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content, kind) of all stored documents, as parse() reads them; a missing folder gives no rows."""
+    return spark.read.schema(DOCUMENT).parquet(path) if exists(spark, path) else spark.createDataFrame([], DOCUMENT)
+
+
+# Documents that every registry begins with, whatever discovery finds: type, year, number, title.
+SEEDS = [
+    ("ukpga", 2024, 3, "Automated Vehicles Act 2024"),
+    ("ukpga", 2024, 2, "Pedicabs (London) Act 2024"),
+    ("ukpga", 1988, 52, "Road Traffic Act 1988"),
+    ("ukpga", 1988, 53, "Road Traffic Offenders Act 1988"),
+    ("ukpga", 1984, 27, "Road Traffic Regulation Act 1984"),
+    ("ukpga", 2006, 49, "Road Safety Act 2006"),
+    ("ukpga", 2000, 38, "Transport Act 2000"),
+    ("ukpga", 1993, 43, "Railways Act 1993"),
+    ("ukpga", 2005, 14, "Railways Act 2005"),
+    ("ukpga", 2021, 12, "Air Traffic Management and Unmanned Aircraft Act 2021"),
+    ("ukpga", 2012, 19, "Civil Aviation Act 2012"),
+    ("ukpga", 2018, 18, "Automated and Electric Vehicles Act 2018"),
+    ("ukpga", 2022, 14, "Taxis and Private Hire Vehicles Act 2022"),
+    ("ukpga", 1980, 34, "Highways Act 1980"),
+    ("ukpga", 2023, 32, "Energy Act 2023"),
+    ("uksi", 2024, 566, "Goods Vehicles (International Road Transport) Regs 2024"),
+    ("uksi", 2024, 615, "Motor Vehicles (Driving Licences) (Amendment) Regs 2024"),
+    ("uksi", 2024, 305, "Road Vehicles (Registration and Licensing) Regs 2024"),
+    ("uksi", 2023, 980, "Traffic Signs (Amendment) Regulations 2023"),
+    ("uksi", 2023, 695, "Drivers' Hours and Tachographs (Amendment) Regs 2023"),
+    ("uksi", 2023, 903, "Railways (Access, Management) (Amendment) Regs 2023"),
+]
+
+
+def seeds(spark: SparkSession) -> DataFrame:
+    """Registry rows of SEEDS, to come before what was discovered: registry(seeds(spark), found)."""
+    rows = [(i, f"/{kind}/{year}/{number}", title, kind, year, number) for i, (kind, year, number, title) in enumerate(SEEDS)]
+    return spark.createDataFrame(rows, "seq long, uri string, title string, type string, year int, number int")
 
 
 def case_probes(spark: SparkSession, courts: list[str], years: list[int], upto: int = 10) -> DataFrame:

@@ -185,7 +185,7 @@ def parse(files: DataFrame, rows: Callable[[Doc], Iterator[dict]], schema: str)
             for file, content in zip(frame["file"], frame["content"], strict=True):
                 try:
                     out += [blank | {"file": file, "ord": i} | row for i, row in enumerate(rows(Doc(bytes(content))))]
-                except ET.ParseError as e:
+                except (ET.ParseError, ValueError, LookupError) as e:  # the last two for encodings that the parser lacks
                     out.append(blank | {"file": file, "ord": -1, "error": str(e)})
             yield pd.DataFrame(out, columns=names, dtype=object)
 

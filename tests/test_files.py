@@ -56,3 +56,20 @@ def test_stored_index_and_edges(spark, tmp_path):
     edges = spark.createDataFrame([("b", "x", "AMENDS", 0.5), ("a", "y", "CITES", 0.5)], "source_id string, target string, action_type string, confidence double")
     graph.save_edges(edges, str(tmp_path / "edges"))
     assert graph.outgoing(spark.read.parquet(str(tmp_path / "edges")), "a").count() == 1
+
+
+def test_document_sink_keeps_xml_and_skips_what_is_stored(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    rows = [("ukpga_2020_1", "ukpga", b" \n<a/>"), ("uksi_2020_2", "uksi", b"<b/>"), ("ukpga_2020_3", "ukpga", b"Not found"), ("ukpga_2020_4", "ukpga", None), ("ukpga_2020_5", "ukpga", b"")]
+    schema = "file string, type string, content binary"
+    files.save_documents(spark.createDataFrame(rows, schema), path)
+    files.save_documents(spark.createDataFrame([("ukpga_2020_1", "ukpga", b"<changed/>"), ("ukpga_2020_6", "ukpga", b"<new/>")], schema), path)
+    files.save_effects(spark.createDataFrame(rows[:2], schema), path)
+    got = sorted((r["file"], r["kind"], bytes(r["content"])) for r in files.stored_documents(spark, path).collect())
+    assert got == [("ukpga_2020_1", "act", b" \n<a/>"), ("ukpga_2020_1_effects", "effects", b" \n<a/>"), ("ukpga_2020_6", "act", b"<new/>"), ("uksi_2020_2", "other", b"<b/>"), ("uksi_2020_2_effects", "effects", b"<b/>")]
+
+
+def test_seeds_come_first(spark):
+    found = spark.createDataFrame([(0, "/ukpga/2024/3", "found", "ukpga", 2024, 3), (1, "/ukpga/1999/9", "other", "ukpga", 1999, 9)], "seq long, uri string, title string, type string, year int, number int")
+    reg = {r["uri"]: r["title"] for r in files.registry(files.seeds(spark), found).collect()}
+    assert len(reg) == 22 and reg["/ukpga/2024/3"] == "Automated Vehicles Act 2024"

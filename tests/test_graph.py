@@ -111,12 +111,58 @@ def test_extract_with_injected_model(spark):
             raise TimeoutError
         return ['[{"action": "amends", "target_citation": "X Act 2000 section 1"}]' for _ in batch]
 
-    out = extract.extract(prompts, model, workers=2, batch=1)
+    out = extract.extract(prompts, model, workers=2, batch=1, wait=0.0)
     got = extract.validated(extract.parsed(out)).collect()
     assert sorted(r["id"] for r in got) == ["0", "1", "2", "4"] and got[0]["target_citation"] == "X Act 2000 s.1"
     assert out.where("output IS NULL").count() == 1
 
 
+def test_extract_tries_again_and_goes_on(spark, tmp_path):
+    """Timeouts are tried again; another error costs the one prompt its items; what has an output is not asked again."""
+    prompts = spark.createDataFrame([(str(i), f"p{i}") for i in range(6)], "id string, prompt string")
+    marks = str(tmp_path)
+
+    def model(batch):
+        import os
+
+        if "p5" in batch:
+            raise ValueError("no such prompt")
+        if "p3" in batch and not os.path.exists(f"{marks}/tried"):
+            open(f"{marks}/tried", "w").close()
+            raise RuntimeError("Request timeout")
+        if "p1" in batch:
+            raise ConnectionError
+        return [f"[{p}]" for p in batch]
+
+    got = {r["id"]: r["output"] for r in extract.extract(prompts, model, workers=1, batch=2, wait=0.0).collect()}
+    assert got == {"0": None, "1": None, "2": "[p2]", "3": "[p3]", "4": "[p4]", "5": "[]"}
+    done = spark.createDataFrame(list(got.items()), "id string, output string")
+    again = extract.extract(prompts, lambda batch: ["[]"] * len(batch), workers=1, wait=0.0, done=done)
+    assert sorted(r["id"] for r in again.collect()) == ["0", "1"]
+
+
+def test_sampling_confidence_is_over_successful_runs(spark):
+    samples = spark.createDataFrame([("c", 0, 1, "CITES", "X Act 2000", None), ("c", 2, 1, "CITES", "X Act 2000", "d"), ("c", 2, 2, "CITES", "Y Act 2001", None), ("d", 0, 1, "CITES", "X Act 2000", None)], "chunk string, run int, ord int, action string, citation string, detail string")
+    runs = spark.createDataFrame([("c", 0), ("c", 1), ("c", 2), ("d", 0), ("d", 1)], "chunk string, run int")
+    got = {(r["chunk"], r["citation"]): (r["confidence"], r["detail"]) for r in extract.sampling_confidence(samples, runs).collect()}
+    assert got == {("c", "X Act 2000"): (0.67, "d"), ("d", "X Act 2000"): (0.5, None)}
+
+
+def test_prompts_and_processable_texts(spark):
+    body = "x" * 50
+    rows = spark.createDataFrame([(1, "judgment", f"CASE: a | TEXT: {body}"), (2, "judgment", f"CASE: {body} | TEXT: short"), (3, "legislation", f"ACT: a | TEXT: {body}")], "seq long, source string, content string")
+    assert [r["seq"] for r in extract.processable(rows).collect()] == [1]
+    prompts = {r["seq"]: r["p"] for r in rows.select("seq", extract.system_prompt(F.col("source")).alias("p")).collect()}
+    assert prompts[1] == prompts[2] != prompts[3] and all("target_citation" in p and "JSON array" in p for p in prompts.values())
+    assert [r["seq"] for r in extract.from_offset(rows, 2).collect()] == [2, 3]
+
+
+def test_conflicts_need_an_amending_and_another_repealing_act(spark):
+    rows = [("a.xml_1", "AMENDS", "both"), ("b.xml_1", "REPEALS", "both"), ("b.xml_2", "REPEALS", "both"), ("a.xml_1", "AMENDS", "same act"), ("a.xml_2", "REPEALS", "same act"), ("a.xml_1", "AMENDS", "cited"), ("b.xml_1", "CITES", "cited"), ("c.xml_1", "INSERTS", "cited")]
+    got = graph.conflicts(spark.createDataFrame(rows, "source_id string, action_type string, target string")).collect()
+    assert [tuple(r) for r in got] == [("both", 1, 1)]
+
+
 def test_concepts(spark):
     docs = spark.createDataFrame([(1, "Soil and OIL", None), (2, None, None), (3, "Taxi rules", "police")], "k int, title string, act string")
     links = graph.concept_links(docs, "k", ["title", "act"], [("Energy", ["oil", "gas"]), ("Road", ["taxi"]), ("Crime", ["police"])])

@@ -1,4 +1,4 @@
-"""Queries over all of their input, on fixtures with rows that a cut would miss (the registered SQL of some still has one)."""
+"""Queries over all of their input, on fixtures with rows that a cut would miss."""
 
 import datetime
 

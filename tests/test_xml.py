@@ -102,3 +102,9 @@ def test_first_corpus(spark, folder):
     files = xml.read_files(spark, folder(ukpga_2024_2=ACT, ewhc_1=CASE))
     got = {r["id"]: r["content"][:15] for r in xml.first_corpus(files).collect()}
     assert got["ukpga_2024_2.xml_s1"] == "In the Gadgets " and "ewhc_1.xml_s2" in got and "ewhc_1.xml_s1" not in got
+
+
+def test_odd_encodings_are_error_rows(spark):
+    contents = [("a", '<?xml version="1.0" encoding="shift_jis"?><a/>'.encode()), ("b", '<?xml version="1.0" encoding="no-such"?><a/>'.encode()), ("c", b"<a/>")]
+    got = {r["file"] for r in xml.parse_errors(spark.createDataFrame(contents, "file string, content binary")).collect()}
+    assert got == {"a", "b"}
