@@ -136,31 +136,34 @@ SQL = {
         FROM n
         WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)""",
     "op5_mixing": r"""
-        WITH RECURSIVE n AS (SELECT coalesce('=' || source, 'null') AS key, count(*) AS n FROM documents GROUP BY 1),
-        i AS (SELECT key, n, (1000 - count(*) OVER ()) * sqrt(n) / sum(sqrt(n)) OVER () AS ideal FROM n),
+        WITH RECURSIVE n AS (SELECT coalesce('=' || source, 'null') AS key, count(*) AS n, sqrt(count(*)) AS w FROM documents GROUP BY 1),
+        -- a slot for each block of 8 rows, between 1,000 and 16,000 and by the work of a frame; the tables have fewer than 256 sources
+        q AS MATERIALIZED (SELECT greatest(1000, least(sum((n + 7) // 8), 16000, 1500000 // count(*)))::BIGINT AS q, count(*) AS lanes, sum(w) AS w FROM n),
+        b0 AS (SELECT key, n.n, greatest(q.q * n.w / q.w - 1, 0) AS beyond, q.q - q.lanes AS free FROM n, q),
+        i AS (SELECT key, n, free, round(free * beyond / sum(beyond) OVER (), 9) AS ideal FROM b0),
         p AS MATERIALIZED (
           SELECT key, n, 1 + floor(ideal)::BIGINT + (row_number() OVER (ORDER BY round(ideal - floor(ideal), 9) DESC, key)
-                                     <= 1000 - sum(1 + floor(ideal)::BIGINT) OVER ())::BIGINT AS p
+                                     <= free - sum(floor(ideal)::BIGINT) OVER ())::BIGINT AS p
           FROM i),
         -- one frame: at every slot the released block with the earliest deadline
         f(t, had, pick) AS (
-          SELECT -1, (SELECT map_from_entries(list({'k': key, 'v': 0::BIGINT} ORDER BY key)) FROM p), NULL::VARCHAR
+          SELECT -1::BIGINT, (SELECT map_from_entries(list({'k': key, 'v': 0::BIGINT} ORDER BY key)) FROM p), NULL::VARCHAR
           UNION ALL
           SELECT t + 1,
                  map_from_entries(list_transform(map_entries(had), lambda e: {'k': e.key, 'v': e.value + (e.key = x.k)::BIGINT})), x.k
-          FROM f, LATERAL (
-            SELECT p.key AS k FROM p
-            WHERE f.had[p.key] < p.p AND f.had[p.key] * 1000 // p.p <= f.t + 1
-            ORDER BY ((f.had[p.key] + 1) * 1000 + p.p - 1) // p.p, p.key LIMIT 1) x
-          WHERE t < 999),
+          FROM f, q, LATERAL (
+            SELECT p.key AS k FROM p, q AS q1
+            WHERE f.had[p.key] < p.p AND f.had[p.key] * q1.q // p.p <= f.t + 1
+            ORDER BY ((f.had[p.key] + 1) * q1.q + p.p - 1) // p.p, p.key LIMIT 1) x
+          WHERE t < q.q - 1),
         slots AS (SELECT pick AS key, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS i FROM f WHERE t >= 0),
-        h AS (SELECT min(n // 8 * 1000 // p) AS horizon FROM p),
+        h AS (SELECT min(n // 8 * q // p) AS horizon FROM p, q),
         d AS (
           SELECT doc_id, source, coalesce('=' || source, 'null') AS key,
                  row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id) - 1 AS seq
           FROM documents),
         b AS (SELECT doc_id, source, p, key, seq // 8 AS block, seq % 8 AS place FROM d JOIN p USING (key))
-        SELECT doc_id, source, block, place, block // p * 1000 + slot AS slot, block * 1000 // p AS release,
-               ((block + 1) * 1000 + p - 1) // p AS deadline, block // p * 1000 + slot < horizon AS within
-        FROM b JOIN slots ON slots.key = b.key AND slots.i = b.block % b.p, h""",
+        SELECT doc_id, source, block, place, block // p * q + slot AS slot, block * q // p AS release,
+               ((block + 1) * q + p - 1) // p AS deadline, block // p * q + slot < horizon AS within
+        FROM b JOIN slots ON slots.key = b.key AND slots.i = b.block % b.p, h, q""",
 }
