@@ -89,13 +89,13 @@ def class_counts(counts: DataFrame, symbols: int) -> tuple[np.ndarray, np.ndarra
 
 class Model:
     """Symbols: END, then the classes of words. start (K), move (K, K), emit (symbols, K): probabilities; unigram
-    (symbols): smoothed probabilities, of a class those of its words and of one unknown word; tokens, distinct: N and V of
-    the learning rows."""
+    (symbols): smoothed probabilities, of a class those of its words and an even share of that of one unknown word, so that
+    they add up to 1; tokens, distinct: N and V of the learning rows."""
 
     def __init__(self, tokens: np.ndarray, distinct: np.ndarray, docs: int):
         self.tokens, self.distinct, self.docs = int(tokens.sum()) + docs, int(distinct.sum()) + (1 if docs else 0), docs
         self.total = self.tokens + ADD * (self.distinct + 1)
-        self.unigram = np.append(docs + ADD, tokens + ADD * (distinct + 1)) / self.total
+        self.unigram = np.append(docs + ADD, tokens + ADD * distinct + ADD / len(tokens)) / self.total
         rng = np.random.default_rng(11)
         k = STATES
         self.start, self.move = np.full(k, 1 / k), np.full((k, k), 0.1 / (k - 1)) if k > 1 else np.ones((1, 1))

@@ -128,7 +128,8 @@ def test_scores(spark, monkeypatch, head, longest):
     unigram = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))
     symbol = lambda w: 0 if w is None else hmm.symbol_of(w, symbols)
     classes = {k: [w for w in c if w is not None and symbol(w) == k] for k in range(1, symbols + 1)}
-    of_class = [unigram(None), *[sum(map(unigram, ws)) + 0.1 / (n + 0.1 * (v + 1)) for ws in classes.values()]]
+    of_class = [unigram(None), *[sum(map(unigram, ws)) + 0.1 / symbols / (n + 0.1 * (v + 1)) for ws in classes.values()]]
+    assert abs(sum(of_class) - 1) < 1e-9
     model = hmm.Model(np.array([sum(c[w] for w in ws) for ws in classes.values()], float), np.array([len(ws) for ws in classes.values()], float), c[None])
     assert np.allclose(model.unigram, of_class) and max(map(len, classes.values())) > 1
     codes = {i: np.array([symbol(w) for w in tokens_of(t)]) for i, t in docs}
