@@ -6,31 +6,34 @@ CANONICAL_ACTIONS = [
     "DEFINES", "INTERPRETS", "DELEGATES", "IMPLEMENTS", "CREATES", "EMPOWERS", "REQUIRES", "PROHIBITS", "EXTENDS",
 ]
 
-# Accepted variants of each relation type.
-ACTION_VARIANTS = {
-    "AMENDS": "AMEND AMENDED AMENDS AMENDING",
-    "REPEALS": "REPEAL REPEALED REPEALS REPEALING OMIT OMITS OMITTED",
-    "SUBSTITUTES": "SUBSTITUTE SUBSTITUTED SUBSTITUTES REPLACE REPLACES REPLACED",
-    "INSERTS": "INSERT INSERTED INSERTS INSERTING",
-    "COMMENCES": "COMMENCE COMMENCED COMMENCES",
-    "REVOKES": "REVOKE REVOKED REVOKES",
-    "APPLIES": "APPLY APPLIED APPLIES",
-    "CITES": "CITE CITED CITES CITING REFER REFERS REFERRED REFERENCES MENTION MENTIONS MENTIONED RELATES_TO"
-    " FOLLOW FOLLOWS FOLLOWED APPROVE APPROVES APPROVED CONSIDER CONSIDERS CONSIDERED"
-    " UPHELD UPHOLD UPHOLDS AFFIRM AFFIRMS AFFIRMED",
-    "OVERRULES": "OVERRULE OVERRULED OVERRULES DEPART DEPARTS DEPARTED DISAPPROVE DISAPPROVES DISAPPROVED"
-    " REVERSE REVERSES REVERSED QUASH QUASHES QUASHED SET_ASIDE",
-    "DEFINES": "DEFINE DEFINED DEFINES DEFINING",
-    "INTERPRETS": "INTERPRET INTERPRETED INTERPRETS CONSTRUE CONSTRUES CONSTRUED DISTINGUISH DISTINGUISHES DISTINGUISHED",
-    "DELEGATES": "DELEGATE DELEGATED DELEGATES",
-    "IMPLEMENTS": "IMPLEMENT IMPLEMENTED IMPLEMENTS TRANSPOSES TRANSPOSED",
-    "CREATES": "CREATE CREATED CREATES CREATING ESTABLISH ESTABLISHES ESTABLISHED",
-    "EMPOWERS": "EMPOWER EMPOWERED EMPOWERS AUTHORISE AUTHORISES AUTHORIZE CONFER CONFERS CONFERRED",
-    "REQUIRES": "REQUIRE REQUIRED REQUIRES MANDATE MANDATES OBLIGATE IMPOSE IMPOSES",
-    "PROHIBITS": "PROHIBIT PROHIBITED PROHIBITS RESTRICT RESTRICTS FORBID BAN BANS",
-    "EXTENDS": "EXTEND EXTENDED EXTENDS EXTENDING RENEW RENEWS RENEWED PROLONG PROLONGS",
-}
-ACTION_OF = {variant: action for action, variants in ACTION_VARIANTS.items() for variant in variants.split()}
+# Accepted variants of each relation type; the last group are judicial words.
+ACTION_VARIANTS = [
+    ("AMENDS", ["AMEND", "AMENDED", "AMENDS", "AMENDING"]),
+    ("REPEALS", ["REPEAL", "REPEALED", "REPEALS", "REPEALING", "OMIT", "OMITS", "OMITTED"]),
+    ("SUBSTITUTES", ["SUBSTITUTE", "SUBSTITUTED", "SUBSTITUTES", "REPLACE", "REPLACES", "REPLACED"]),
+    ("INSERTS", ["INSERT", "INSERTED", "INSERTS", "INSERTING"]),
+    ("COMMENCES", ["COMMENCE", "COMMENCED", "COMMENCES"]),
+    ("REVOKES", ["REVOKE", "REVOKED", "REVOKES"]),
+    ("APPLIES", ["APPLY", "APPLIED", "APPLIES"]),
+    ("CITES", ["CITE", "CITED", "CITES", "CITING", "REFER", "REFERS", "REFERRED", "REFERENCES", "MENTION",
+        "MENTIONS", "MENTIONED", "RELATES_TO"]),
+    ("OVERRULES", ["OVERRULE", "OVERRULED", "OVERRULES", "DEPART", "DEPARTS", "DEPARTED", "DISAPPROVE",
+        "DISAPPROVES", "DISAPPROVED", "REVERSE", "REVERSES", "REVERSED", "QUASH", "QUASHES", "QUASHED", "SET_ASIDE"]),
+    ("DEFINES", ["DEFINE", "DEFINED", "DEFINES", "DEFINING"]),
+    ("INTERPRETS", ["INTERPRET", "INTERPRETED", "INTERPRETS", "CONSTRUE", "CONSTRUES", "CONSTRUED", "DISTINGUISH",
+        "DISTINGUISHES", "DISTINGUISHED"]),
+    ("DELEGATES", ["DELEGATE", "DELEGATED", "DELEGATES"]),
+    ("IMPLEMENTS", ["IMPLEMENT", "IMPLEMENTED", "IMPLEMENTS", "TRANSPOSES", "TRANSPOSED"]),
+    ("CREATES", ["CREATE", "CREATED", "CREATES", "CREATING", "ESTABLISH", "ESTABLISHES", "ESTABLISHED"]),
+    ("EMPOWERS", ["EMPOWER", "EMPOWERED", "EMPOWERS", "AUTHORISE", "AUTHORISES", "AUTHORIZE", "CONFER", "CONFERS",
+        "CONFERRED"]),
+    ("REQUIRES", ["REQUIRE", "REQUIRED", "REQUIRES", "MANDATE", "MANDATES", "OBLIGATE", "IMPOSE", "IMPOSES"]),
+    ("PROHIBITS", ["PROHIBIT", "PROHIBITED", "PROHIBITS", "RESTRICT", "RESTRICTS", "FORBID", "BAN", "BANS"]),
+    ("EXTENDS", ["EXTEND", "EXTENDED", "EXTENDS", "EXTENDING", "RENEW", "RENEWS", "RENEWED", "PROLONG", "PROLONGS"]),
+    ("CITES", ["FOLLOW", "FOLLOWS", "FOLLOWED", "APPROVE", "APPROVES", "APPROVED", "CONSIDER", "CONSIDERS",
+        "CONSIDERED", "UPHELD", "UPHOLD", "UPHOLDS", "AFFIRM", "AFFIRMS", "AFFIRMED"]),
+]
+ACTION_OF = {variant: action for action, variants in ACTION_VARIANTS for variant in variants}
 
 # Effect types of change feeds, in declaration order.
 EFFECT_TYPES = [

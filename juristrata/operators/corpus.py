@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 from juristrata.functions.text import body, id_prefix
 
 
+HEAD = 10
+"""Characters of a file's name that group files when they are numbered: type and year, as in ukpga_2024."""
+
+
 def union_sources(*sources: DataFrame) -> DataFrame:
     """Chunks of all sources in one order: source by source, file by file, in document order."""
     ranked = [s.withColumn("_rank", F.lit(i)) for i, s in enumerate(sources)]
     every = ranked[0]
     for s in ranked[1:]:
         every = every.unionByName(s, allowMissingColumns=True)
-    # Numbers are dealt by file: one running total over the files, then positions inside each file.
-    per_file = every.groupBy("_rank", "file").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("_rank", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = per_file.withColumn("start", before).drop("n")
+    # Numbers are dealt by file: a running total over the files, then positions inside each file. The total is taken in
+    # two levels, over the first characters of the names and inside each such group, so no task ranks all files.
+    per_file = every.groupBy("_rank", "file").agg(F.count(F.lit(1)).alias("n")).withColumn("_head", F.left("file", F.lit(HEAD)))
+    per_head = per_file.groupBy("_rank", "_head").agg(F.sum("n").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = per_head.select("_rank", "_head", before(Window.partitionBy(F.lit(1)).orderBy("_rank", "_head")).alias("_base"))
+    starts = per_file.join(heads, ["_rank", "_head"]).withColumn("start", F.col("_base") + before(Window.partitionBy("_rank", "_head").orderBy("file"))).select("_rank", "file", "start")
     inside = F.row_number().over(Window.partitionBy("_rank", "file").orderBy("ord")) - 1
-    return every.withColumn("inside", inside).join(F.broadcast(starts), ["_rank", "file"]).withColumn("seq", (F.col("start") + F.col("inside")).cast("long")).drop("_rank", "file", "ord", "inside", "start")
+    return every.withColumn("inside", inside).join(starts, ["_rank", "file"]).withColumn("seq", (F.col("start") + F.col("inside")).cast("long")).drop("_rank", "file", "ord", "inside", "start")
 
 
 def attach_notes(chunks: DataFrame, notes: DataFrame, size: int = 500) -> DataFrame:
@@ -31,7 +38,7 @@ def attach_notes(chunks: DataFrame, notes: DataFrame, size: int = 500) -> DataFr
 
 
 # Fixed value: how a text defines an abbreviation of an act.
-ABBREVIATION = r'((?:the\s+)?[A-Z][A-Za-z\s,\x27-]+?Act\s+\d{4})\s*\(\s*["“]\s*((?:the\s+)?[A-Z][A-Za-z\s]+?\d{4})\s*["”]\s*\)'
+ABBREVIATION = r"""((?:the\s+)?[A-Z][A-Za-z\s,'-]+?Act\s+\d{4})\s*\(\s*["“]\s*((?:the\s+)?[A-Z][A-Za-z\s]+?\d{4})\s*["”]\s*\)"""
 
 
 def abbreviations(chunks: DataFrame) -> DataFrame:

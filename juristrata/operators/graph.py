@@ -5,7 +5,7 @@ Every first-wins or last-wins rule is decided by `seq`, so results do not depend
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from juristrata.functions.text import clean_heading, display_label, id_prefix, node_type, normalize_action, snippet, strip
@@ -218,3 +218,37 @@ def run_query(spark, sql: str, most: int = 100) -> str:
     except Exception as e:  # the message goes back to the model
         return f"⚠️ Query failed: {str(e).splitlines()[0][:300]}"
     return json.dumps([json.loads(r) for r in rows], ensure_ascii=False) if rows else "⚠️ The query gave no rows."
+
+
+# Fixed value: how a text names an act.
+NAMED_ACT = r"([A-Z][A-Za-z\s\(\)]+(?:Act|Order|Regulations?)\s+\d{4})"
+
+
+def chunk_context(chunks: DataFrame, edge_rows: DataFrame, acts: int = 5, lines: int = 15, detail: int = 80) -> DataFrame:
+    """(id, context) of chunks (id, content, doc_title): one line for each edge whose source title or target holds an act
+    that the chunk names, in the order of the names (the chunk's own title is the last), then of the edges; repeated
+    lines once. Chunks without such edges are left out.
+
+    An act's name starts with a capital and ends with a year, so the parts of a title or target that could hold it are
+    few, and the containment is an equi-join on them; titles of another shape must equal the whole. Edges are ranked
+    before chunks meet them, so a much-named act brings `lines` edges to each chunk and no more."""
+    own = F.filter(F.array(strip(F.col("doc_title"))), lambda t: t != "")
+    names = F.array_distinct(F.concat(F.transform(F.regexp_extract_all("content", F.lit(NAMED_ACT), 1), strip), F.coalesce(own, F.array().cast("array<string>"))))
+    named = chunks.select("id", F.posexplode(F.slice(names, 1, acts)).alias("p", "name"))
+    both = edge_rows.withColumn("line", F.concat(F.lit("["), "action_type", F.lit("] "), "source_id", F.lit(" -> "), "target", F.coalesce(F.concat(F.lit(" | "), F.left("detail", F.lit(detail))), F.lit(""))))
+    held = both.withColumn("name", F.explode(F.array_distinct(F.concat(_holdable(F.col("source_title")), _holdable(F.col("target"))))))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("source_id", "action_type", "target", "line"))
+    first = held.select("name", "line", rank.alias("k")).where(F.col("k") <= lines)
+    met = named.join(first, "name").groupBy("id", "line").agg(F.min(F.struct("p", "k")).alias("at"))
+    shown = F.slice(F.sort_array(F.collect_list(F.struct("at", "line"))), 1, lines)
+    return met.groupBy("id").agg(F.array_join(F.transform(shown, lambda s: s["line"]), "\n").alias("context"))
+
+
+def _holdable(text: Column) -> Column:
+    """The names that a text can hold: from each capital to each year that ends an act's name, and the whole text."""
+    whole = F.coalesce(text, F.lit(""))
+    place = F.sequence(F.lit(1), F.greatest(F.length(whole), F.lit(1)))
+    capitals = F.filter(place, lambda i: F.substring(whole, i, F.lit(1)).rlike("[A-Z]"))
+    ends = F.filter(place, lambda i: F.substring(whole, F.lit(1), i).rlike(r"(?s)(Act|Order|Regulations?)\s+\d{4}$"))
+    cut = F.flatten(F.transform(capitals, lambda a: F.transform(ends, lambda b: F.substring(whole, a, b - a + 1))))
+    return F.filter(F.concat(cut, F.array(whole)), lambda n: n != "")

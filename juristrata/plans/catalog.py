@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,25 +9,12 @@ from juristrata.functions import text as P
 from juristrata.functions import vectors as V
 from juristrata.functions.lexicon import ACT_TYPES, CANONICAL_ACTIONS, CONCEPTS, INSTRUMENT_TYPES, LEGACY_CONCEPTS, TITLE_PATTERN
 from juristrata.operators import corpus, evaluate, extract, graph, quality, search
+from juristrata.plans import documents  # noqa: F401  (adds its queries to the registry)
 from juristrata.plans.inputs import Inputs, act_sql, action_sql, citation_sql, sql_with, values
+from juristrata.plans.registry import QUERIES, SQL, query
 from juristrata.sources import files, xml
 from juristrata.streaming import accumulate
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function of Inputs under its own name."""
-
-    def add(f: Callable[[Inputs], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Inputs(spark, sf_dir))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 def strings(names) -> str:
     return ", ".join(f"'{n}'" for n in names)

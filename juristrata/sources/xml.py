@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,10 +23,15 @@ from juristrata.functions.text import blank_to_null, effect_action, strip, uri_p
 PREFIXES = {"http://www.legislation.gov.uk/namespaces/metadata": "ukm:", "http://purl.org/dc/elements/1.1/": "dc:"}
 
 
+@lru_cache(4096)
+def _plain(tag: str) -> str:
+    space, _, name = tag.rpartition("}")
+    return PREFIXES.get(space.lstrip("{"), "") + name
+
+
 def local(node: ET.Element) -> str:
     """A node's name without its namespace, but with a prefix for metadata."""
-    space, _, name = node.tag.rpartition("}") if isinstance(node.tag, str) else ("", "", "")
-    return PREFIXES.get(space.lstrip("{"), "") + name
+    return _plain(node.tag) if isinstance(node.tag, str) else ""
 
 
 class Doc:
@@ -60,15 +66,16 @@ class Doc:
 
 
 # Fixed value: how an act's full name precedes its defined term.
-DEFINITION = r"(?:the\s+)?([A-Z][A-Za-z\s,()]+?Act\s+\d{4})\s*\(\s*[\"“]"
+DEFINITION = re.compile(r"(?:the\s+)?([A-Z][A-Za-z\s,()]+?Act\s+\d{4})\s*\(\s*[\"“]")
 
 
 def _terms(doc: Doc) -> dict[str, str]:
     found = {}
     for term in doc.all("Term"):
         name, around = doc.text(term), doc.text(doc.parent.get(term))
-        if name and (m := re.search(DEFINITION + re.escape(name), around)):
-            found[name] = m[1].strip()
+        full = next((m[1] for m in DEFINITION.finditer(around) if around.startswith(name, m.end())), None) if name else None
+        if full is not None:
+            found[name] = full.strip()
     return found
 
 
@@ -187,6 +194,9 @@ def parse(files: DataFrame, rows: Callable[[Doc], Iterator[dict]], schema: str)
                     out += [blank | {"file": file, "ord": i} | row for i, row in enumerate(rows(Doc(bytes(content))))]
                 except (ET.ParseError, ValueError, LookupError) as e:  # the last two for encodings that the parser lacks
                     out.append(blank | {"file": file, "ord": -1, "error": str(e)})
+                if len(out) >= 1000:
+                    yield pd.DataFrame(out, columns=names, dtype=object)
+                    out = []
             yield pd.DataFrame(out, columns=names, dtype=object)
 
     return files.select("file", "content").mapInPandas(run, f"file string, ord bigint, error string, {schema}")
@@ -327,3 +337,15 @@ def pages_text(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["page_id", "title", "links", "chars"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id bigint, title string, links bigint, chars bigint")
+
+
+def page_links(files: DataFrame) -> DataFrame:
+    """(file, next) of feed pages; next is null on the last page."""
+    return parse(files, entry_rows, ENTRY).where("error IS NULL AND ord = 0").select("file", "next")
+
+
+def validity(files: DataFrame, folder: Column) -> DataFrame:
+    """(folder, files, valid, broken, bytes): how many files of each folder are XML, and their sizes."""
+    told = parse(files, lambda doc: iter([{"none": None}]), "none string").select("file", F.col("error").isNotNull().alias("bad"))
+    sizes = files.select("file", F.octet_length("content").alias("size")).join(told, "file")
+    return sizes.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.count_if(~F.col("bad")).alias("valid"), F.count_if("bad").alias("broken"), F.sum("size").alias("bytes"))
