@@ -56,6 +56,12 @@ def titles(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(id_prefix(F.col("id")).alias("prefix")).agg(F.min_by("doc_title", "seq").alias("title")).where("prefix <> ''")
 
 
+def with_titles(triples: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Triples with doc_title, the title of the document that their source_id belongs to; null where there is none."""
+    named = titles(chunks).select(F.col("prefix").alias("_prefix"), F.col("title").alias("doc_title"))
+    return triples.withColumn("_prefix", id_prefix(F.col("source_id"))).join(named, "_prefix", "left").drop("_prefix")
+
+
 def lookup(chunks: DataFrame, ids: list[str], size: int = 800) -> DataFrame:
     """(pos, id, doc_title, text) of the chunks with the given ids, in their order, repeats included; the last chunk of
     an id counts."""

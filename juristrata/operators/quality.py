@@ -79,6 +79,13 @@ def vague(triples: DataFrame, citation: str, least: int = 15) -> DataFrame:
     return triples.where(F.length(citation) < least).groupBy(citation).agg(F.count(F.lit(1)).alias("n"))
 
 
+def vague_report(triples: DataFrame, citation: str, least: int = 15, samples: int = 5) -> DataFrame:
+    """(n, samples): how many triples have such a citation, and those of the first few by seq."""
+    rows = triples.where(F.length(citation) < least)
+    first = rows.orderBy("seq", citation).limit(samples).agg(F.sort_array(F.collect_list(F.struct("seq", citation))).alias("first"))
+    return rows.agg(F.count(F.lit(1)).alias("n")).join(first, how="cross").select("n", F.transform("first", lambda x: x[citation]).alias("samples"))  # one row on either side
+
+
 def budget(chunks: DataFrame, size: int = 5000) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("chunks")).select("chunks", (F.lit(size) - F.col("chunks")).alias("left"))
 

@@ -32,6 +32,17 @@ def normalize_citation(i):
     return i.t_raw.select("seq", P.normalize_citation(F.col("target_citation")).alias("citation"))
 
 
+_SHORT = [("HA", "Housing Act"), ("Housing Act 1985", "Housing Act 1985 (as amended)"), ("LRA", "Leasehold Reform Act")]
+
+
+@query(sql_with(f"SELECT seq, {citation_sql('c')} AS citation FROM (SELECT seq, replace(replace(replace(c, 'HA', 'Housing Act'), 'Housing Act 1985', 'Housing Act 1985 (as amended)'), 'LRA', 'Leasehold Reform Act') AS c FROM (SELECT seq, CASE seq % 3 WHEN 0 THEN replace(target_citation, 'Housing Act', 'HA') WHEN 1 THEN replace(target_citation, 'Housing Act', 'LRA') ELSE target_citation END AS c FROM t_raw))", "t_raw"))
+def expand_citation(i):
+    """Citations spelt out by a table of abbreviations, each after the other."""
+    table = F.array(*[F.struct(F.lit(a).alias("short"), F.lit(b).alias("full")) for a, b in _SHORT])
+    c = F.expr("CASE seq % 3 WHEN 0 THEN replace(target_citation, 'Housing Act', 'HA') WHEN 1 THEN replace(target_citation, 'Housing Act', 'LRA') ELSE target_citation END")
+    return i.t_raw.select("seq", P.normalize_citation(c, table).alias("citation"))
+
+
 @query(sql_with(f"SELECT seq, {act_sql('target_citation')} AS act_name FROM t_raw", "t_raw"))
 def extract_act_name(i):
     return i.t_raw.select("seq", P.extract_act_name(F.col("target_citation")).alias("act_name"))
@@ -240,9 +251,10 @@ def distinct_sources(i):
     return i.edges.select("source_id").distinct().orderBy("source_id").limit(30)
 
 
-@query(sql_with("SELECT (SELECT count(DISTINCT source_id) + count(DISTINCT target) FROM t) AS nodes, count(*) AS edges FROM edges", "edges"))
+@query(sql_with("""SELECT (SELECT count(DISTINCT source_id) + count(DISTINCT target) FROM t) AS nodes, count(*) AS edges, count(DISTINCT action_type) AS edge_types,
+    count(DISTINCT CASE WHEN regexp_matches(source_id, '^(uksc|ewca|ewhc|ukut)_') THEN 'judgment' ELSE 'legislation' END) AS node_types FROM edges""", "edges"))
 def graph_stats(i):
-    return i.edges.agg((F.count_distinct("source_id") + F.count_distinct("target")).alias("nodes"), F.count(F.lit(1)).alias("edges"))
+    return i.edges.agg((F.count_distinct("source_id") + F.count_distinct("target")).alias("nodes"), F.count(F.lit(1)).alias("edges"), F.count_distinct("action_type").alias("edge_types"), F.count_distinct(P.node_type(F.col("source_id"))).alias("node_types"))
 
 
 @query(sql_with("SELECT count(*) AS n, round(avg(confidence), 6) AS mean_confidence, max(times_seen) AS most FROM edges WHERE times_seen > 1", "edges"))
@@ -278,6 +290,13 @@ def schema_profile(i):
     return graph.schema_profile(nodes, i.edges, _links(i))
 
 
+@query(sql_with(f"SELECT DISTINCT p_partkey, concept FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN title END AS a, CASE p_partkey % 3 WHEN 1 THEN upper(title) END AS b, CASE p_partkey % 3 WHEN 2 THEN title ELSE 'no gas' END AS c FROM titles) JOIN {_KEYWORDS} ON contains(lower(coalesce(a, '')), word) OR contains(lower(coalesce(b, '')), word) OR contains(lower(coalesce(c, '')), word)", "titles"))
+def concept_links_fields(i):
+    """Links by any of three fields, nulls among them."""
+    rows = i.titles.selectExpr("p_partkey", "CASE p_partkey % 3 WHEN 0 THEN title END AS title", "CASE p_partkey % 3 WHEN 1 THEN upper(title) END AS act_name", "CASE p_partkey % 3 WHEN 2 THEN title ELSE 'no gas' END AS citation")
+    return graph.concept_links(rows, "p_partkey", ["title", "act_name", "citation"], [(n, ws) for n, _, ws in CONCEPTS])
+
+
 @query(sql_with(_LINKS, "titles"))
 def concept_links(i):
     return _links(i)
@@ -427,9 +446,10 @@ def short_chunks(i):
 
 
 @query(sql_with(f"""SELECT count(*) AS triples, count(*) FILTER (action IN ({strings(CANONICAL_ACTIONS)})) AS canonical, count(*) FILTER (action NOT IN ({strings(CANONICAL_ACTIONS)})) AS other, count(*) FILTER (contains(lower(target_citation), lower(source_title))) AS self_amendments,
-    count(effective_date) AS dated, count(detail_text) AS detailed, count(*) FILTER (coalesce(trim(target_citation), '') = '') AS no_target, count(*) FILTER (coalesce(trim(source_id), '') = '') AS no_source FROM (SELECT * REPLACE (upper(action) AS action) FROM t_raw)""", "t_raw"))
+    count(effective_date) AS dated, count(detail_text) AS detailed, count(*) FILTER (coalesce(trim(target_citation), '') = '') AS no_target, count(*) FILTER (coalesce(trim(source_id), '') = '') AS no_source FROM (SELECT * REPLACE (upper(action) AS action, CASE WHEN seq % 13 > 0 THEN source_id END AS source_id, CASE WHEN seq % 17 > 0 THEN target_citation ELSE '' END AS target_citation) FROM t_raw)""", "t_raw"))
 def triple_quality(i):
-    rows = i.t_raw.withColumns({"action": F.upper("action"), "is_self_amendment": P.self_amendment(F.col("source_title"), F.col("target_citation"))})
+    rows = i.t_raw.withColumns({"source_id": F.expr("CASE WHEN seq % 13 > 0 THEN source_id END"), "target_citation": F.expr("CASE WHEN seq % 17 > 0 THEN target_citation ELSE '' END")})
+    rows = rows.withColumns({"action": F.upper("action"), "is_self_amendment": P.self_amendment(F.col("source_title"), F.col("target_citation"))})
     return quality.triple_report(rows)
 
 
@@ -469,6 +489,12 @@ def vague_citations(i):
     return quality.vague(i.t.withColumn("c", F.expr("CASE WHEN seq % 9 = 0 THEN concat('s.', seq % 30) ELSE target END")), "c")
 
 
+@query(sql_with("""SELECT count(*) AS n, array_to_string((array_agg(c ORDER BY seq, c))[1:5], ' / ') AS samples FROM (SELECT seq, CASE WHEN seq % 9 = 0 THEN 's.' || (seq % 30)::VARCHAR ELSE target END AS c FROM t) WHERE length(c) < 15""", "t"))
+def vague_samples(i):
+    found = quality.vague_report(i.t.withColumn("c", F.expr("CASE WHEN seq % 9 = 0 THEN concat('s.', seq % 30) ELSE target END")), "c")
+    return found.select("n", F.array_join("samples", " / ").alias("samples"))
+
+
 @query(sql_with("SELECT action_type, min(seq) AS seq FROM t GROUP BY action_type", "t"))
 def sample_per_action(i):
     return corpus.first_by_key(i.t.select("action_type", "seq"), ["action_type"])
@@ -486,6 +512,39 @@ def id_to_title(i):
     return corpus.titles(i.own_chunks)
 
 
+@query(sql_with(r"""SELECT seq, x.title AS doc_title FROM t LEFT JOIN (SELECT regexp_replace(id, '(?s)^(.*)\.xml_.*$', '\1') AS prefix, arg_min(doc_title, seq) AS title FROM own_chunks WHERE seq % 5 > 0 AND NOT contains(id, '_3.xml') GROUP BY 1) x
+    ON x.prefix = regexp_replace(t.source_id, '(?s)^(.*)\.xml_.*$', '\1')""", "t", "own_chunks"))
+def triple_titles(i):
+    """The title of each triple's document; null where the corpus lacks it."""
+    chunks = i.own_chunks.where("seq % 5 > 0 AND NOT contains(id, '_3.xml')")
+    return corpus.with_titles(i.t, chunks).select("seq", "doc_title")
+
+
+@query(sql_with("SELECT id, seq FROM own_chunks WHERE seq >= 1000", "own_chunks"))
+def resume_by_offset(i):
+    return extract.from_offset(i.own_chunks, 1000).select("id", "seq")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(sql_with(f"""SELECT seq, md5(CASE WHEN source = 'judgment' THEN {_quoted(extract.JUDGMENT_PROMPT)} ELSE {_quoted(extract.LEGISLATION_PROMPT)} END) AS system, md5(concat_ws(chr(10), 'Document: ' || doc_title, 'Section: ' || section, 'Part: ' || part, 'Heading: ' || heading,
+    CASE WHEN seq % 3 = 0 THEN 'Extent: E+W' END, CASE WHEN seq % 2 = 0 THEN 'Amendments: a | b' || (seq % 10)::VARCHAR || ' | c | d | e' END, CASE WHEN seq % 5 = 0 THEN 'Terms: {{"k' || (seq % 7)::VARCHAR || '":"The Act"}}' END, 'Text: ' || content)) AS prompt FROM chunks""", "chunks"))
+def prompts(i):
+    """What a model is asked about each chunk: the prompt of its kind, then its metadata and text."""
+    some = {"extent": "CASE WHEN seq % 3 = 0 THEN 'E+W' END", "in_force_date": "cast(NULL AS string)", "inline_amendments": "CASE WHEN seq % 2 = 0 THEN array('a', concat('b', seq % 10), 'c', 'd', 'e', 'f') END", "defined_terms": "CASE WHEN seq % 5 = 0 THEN map(concat('k', seq % 7), 'The Act') END"}
+    names = ["doc_title", "section", "part", "heading", "extent", "in_force_date", "inline_amendments", "defined_terms", "content"]
+    rows = i.chunks.withColumns({n: F.expr(e) for n, e in some.items()})
+    return rows.select("seq", F.md5(extract.system_prompt(F.col("source"))).alias("system"), F.md5(P.prompt({n: F.col(n) for n in names})).alias("prompt"))
+
+
+@query("""WITH w AS (SELECT item_id, word, min(p) AS p FROM (SELECT item_id, unnest(x) AS word, generate_subscripts(x, 1) AS p FROM (SELECT item_id, string_split(lower(text), ' ') AS x FROM benchmark)) GROUP BY ALL)
+    SELECT item_id, string_agg(word, ' ' ORDER BY p) AS words FROM w GROUP BY item_id""")
+def unique_words(i):
+    return i.table("benchmark").select("item_id", F.array_join(P.unique(F.split(F.lower("text"), " ")), " ").alias("words"))
+
+
 @query("""WITH p AS (SELECT o_custkey AS g, o_orderkey AS n, o_orderstatus <> 'F' AS hit FROM orders), i AS (SELECT *, sum(hit::INT) OVER (PARTITION BY g ORDER BY n) AS hits FROM p),
     r AS (SELECT *, sum((NOT hit)::INT) OVER (PARTITION BY g, hits ORDER BY n) AS run FROM i), s AS (SELECT g, min(n) AS stop FROM r WHERE run >= 2 GROUP BY g)
     SELECT r.g, r.n, r.hit FROM r LEFT JOIN s ON s.g = r.g WHERE stop IS NULL OR n <= stop""")
@@ -570,9 +629,14 @@ def topk_per_query(i):
     return search.batch_top_k(vectors, vectors.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS q"), 5, pos="vec_id").select("query_id", "pos", "similarity", "rank")
 
 
-@query("SELECT vec_id, 1.0::DOUBLE AS norm FROM embeddings")
+@query("""SELECT vec_id, round(v[1] / n, 4) AS first, round(v[len(v)] / n, 4) AS last, round(list_max(v) / n, 4) AS most, round(list_sum(list_transform(v, lambda x: abs(x))) / n, 3) AS total
+    FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT * REPLACE (CASE WHEN vec_id % 2 = 0 THEN embedding ELSE list_transform(embedding, lambda x: (x * 4)::FLOAT) END AS embedding) FROM embeddings))""")
 def normalize_vectors(i):
-    return i.table("embeddings").select("vec_id", F.round(V.norm(V.unit(F.col("embedding"))), 4).alias("norm"))
+    """Vectors of two lengths, scaled to length 1."""
+    v = V.unit(F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).otherwise(F.transform("embedding", lambda x: (x * 4).cast("float"))))
+    rows = i.table("embeddings").select("vec_id", v.alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + F.abs(x))
+    return rows.select("vec_id", F.round(F.element_at("v", 1), 4).alias("first"), F.round(F.element_at("v", -1), 4).alias("last"), F.round(F.array_max("v"), 4).alias("most"), F.round(total, 3).alias("total"))
 
 
 # Agent, evaluation, trace
@@ -586,9 +650,10 @@ def tool_parse(i):
     return rows.select("conv_id", "turn", P.tool_name(F.col("action")).alias("tool"), P.quoted_argument(F.col("action")).alias("argument"), P.top_k(F.col("action")).alias("k"))
 
 
-@query("SELECT conv_id, turn, 'see now' AS answer FROM conversations")
+@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'see now' ELSE 'turn ' || turn::VARCHAR || ' of ' || conv_id::VARCHAR || ' says ' || role || chr(10) || chr(10) || 'and more' END AS answer FROM conversations""")
 def clean_answer(i):
-    rows = i.table("conversations").selectExpr("conv_id", "turn", f"{_TURN} AS output")
+    other = "concat('ACTION: x(\"a\")\\nANSWER: not this\\nANSWER: turn ', turn, ' of uksc_case_2020_', conv_id, '.xml_1 ', conv_id, '   says ( ) ', role, '\\n\\n\\n\\n', 'and more (ukpga_2020_', turn, '.xml_2)')"
+    rows = i.table("conversations").selectExpr("conv_id", "turn", f"CASE WHEN turn % 2 = 0 THEN {_TURN} ELSE {other} END AS output")
     return rows.select("conv_id", "turn", P.clean_answer(P.last_answer(F.col("output"))).alias("answer"))
 
 

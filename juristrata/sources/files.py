@@ -189,18 +189,13 @@ def attempts_won(probes: DataFrame) -> DataFrame:
 
 
 def follow(links: DataFrame, starts: DataFrame, most: int = 300) -> DataFrame:
-    """(feed, page, step) of the stored pages that a walk along next links meets, at most `most` a feed; links: page, next;
-    starts: feed, page. A walk ends where a page has no link, its target is not stored, or after `most` pages. Walks
-    double their length in each round (a page's k-th successor's k-th successor is its 2k-th), so 300 pages take nine joins."""
-    reach = starts.select("feed", "page", F.lit(0).alias("step"))
-    stored = links.select("page")
-    jump = links.where("next IS NOT NULL").select(F.col("page").alias("at"), F.col("next").alias("to")).join(stored.withColumnRenamed("page", "to"), "to").select("at", "to")
-    length = 1
-    while length < most:
-        further = reach.join(jump, reach["page"] == jump["at"]).select("feed", F.col("to").alias("page"), (F.col("step") + length).alias("step"))
-        reach = reach.unionAll(further.where(F.col("step") < most))
-        length *= 2
-        if length < most:
-            second = jump.select(F.col("at").alias("to"), F.col("to").alias("end"))
-            jump = jump.join(second, "to").select("at", F.col("end").alias("to"))
-    return reach.groupBy("feed", "page").agg(F.min("step").alias("step"))
+    """(feed, page, step) of the stored pages that a walk along next links meets, at most `most` a feed; links: page, next,
+    best a stored table, as each step reads it; starts: feed, page. A walk ends where a page has no link, where its
+    target is not stored or was met before, or after `most` pages."""
+    to = links.where("next IS NOT NULL").join(links.select(F.col("page").alias("next")), "next").select("page", "next")
+    return links.sparkSession.sql(
+        """WITH RECURSIVE walk(feed, page, step) MAX RECURSION LEVEL {levels} AS (SELECT feed, page, 0 FROM {starts}
+            UNION ALL SELECT feed, next, step + 1 FROM walk JOIN {links} l ON l.page = walk.page WHERE step + 1 < {most})
+        SELECT feed, page, min(step) AS step FROM walk GROUP BY feed, page""",
+        levels=most + 1, starts=starts, links=to, most=most,
+    )
