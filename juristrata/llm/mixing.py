@@ -92,7 +92,7 @@ def frame(shares: DataFrame, slots: int = SLOTS) -> DataFrame:
     one = shares.agg(F.sort_array(F.collect_list(F.struct("key", "p"))).alias("s"))
     plan = F.expr(f"""
         aggregate(
-          sequence(0, {slots - 1}),
+          IF(size(s) > 0, sequence(0, {slots - 1}), cast(array() AS array<int>)),
           named_struct('had', transform(s, x -> 0L), 'order', cast(array() AS array<int>)),
           (a, t) -> transform(array(
               array_min(transform(
