@@ -26,9 +26,11 @@ def smart_batch(chunks: DataFrame, n: int) -> DataFrame:
     return rows.where("_hot").unionByName(cold).orderBy("seq").limit(n).drop("_hot")
 
 
-def processable(chunks: DataFrame, least: int = 50) -> DataFrame:
-    """Judgment chunks whose text, without the head before it, has at least so many characters."""
-    return chunks.where((F.col("source") == "judgment") & (F.length(last_body(F.col("content"))) >= least))
+def processable(chunks: DataFrame, least: int = 50, blank: str | None = None) -> DataFrame:
+    """Judgment chunks whose text, without the head before it, has at least so many characters, those of blank (all
+    white space, if None) at both ends aside."""
+    text = last_body(F.col("content")) if blank is None else F.btrim(F.substring_index("content", "| TEXT:", -1), F.lit(blank))
+    return chunks.where((F.col("source") == "judgment") & (F.length(text) >= least))
 
 
 def system_prompt(source: Column) -> Column:

@@ -2,9 +2,10 @@
 
 import datetime
 
+import duckdb
 import numpy as np
 
-from juristrata.operators import search
+from juristrata.operators import extract, search
 from juristrata.plans import catalog
 
 
@@ -36,3 +37,16 @@ def test_topk_per_query_has_every_twentieth_row(spark, tmp_path):
     assert len(got) == len(want) and {(r["query_id"], r["pos"], r["rank"]) for r in got} == want
     blocks = search.batch_top_k(table, table.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS q"), 5, pos="vec_id", query_rows=3)
     assert {(r["query_id"], r["pos"], r["rank"]) for r in blocks.collect()} == want
+
+
+def test_processable_caselaw_trims_as_its_sql(spark, tmp_path):
+    inner = "x" * 48
+    lines = [f"{inner}{end}" for end in ("xx", "xv", "x\x0b", "x\u00a0", "x ", "x\t", "x\x0c", "xvx")] + [f"v {inner}x", f"\x0b{inner}x", f"| TEXT:{inner}vv", f"{inner}xx| TEXT: short", ""]
+    spark.createDataFrame([(5, "\n".join(lines)), (6, "x" * 60), (10, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in catalog.QUERIES["processable_caselaw"](spark, str(tmp_path)).collect())
+    assert got == sorted(db.execute(catalog.SQL["processable_caselaw"]).fetchall()) and 0 < len(got) < len(lines)
+    # The operator strips white space and no letter.
+    chunks = spark.createDataFrame([("a", "judgment", "| TEXT: " + inner + "xv"), ("b", "judgment", "| TEXT: " + inner + "x\x0b")], "id string, source string, content string")
+    assert [r["id"] for r in extract.processable(chunks).collect()] == ["a"]
