@@ -38,7 +38,7 @@ _ACT = f"""concat('<Legislation xmlns="{SPACE}/legislation"><Primary>',
 
 
 def _acts(i) -> DataFrame:
-    return _files(i.table("part").selectExpr("*", "p_partkey AS k"), _ACT_FILE, _ACT)
+    return _files(i.dealt("part", "p_partkey").selectExpr("*", "p_partkey AS k"), _ACT_FILE, _ACT)
 
 
 _ACT_ROWS = """d AS (SELECT p_partkey AS k, p_brand AS br, p_type AS ty, p_size::BIGINT AS sz, CASE WHEN k % 4 = 3 THEN 'uksi' ELSE 'ukpga' END || '_' || (2000 + k % 25)::VARCHAR || '_' || k::VARCHAR AS file,
@@ -158,7 +158,7 @@ _NOTE = f"""concat('<N xmlns="{SPACE}/legislation"><Comment Type="section-', doc
     UNION ALL SELECT 'doc' || doc_id::VARCHAR, 2, 'c' || quality::VARCHAR, 'A commentary on quality ' || quality::VARCHAR || '.' FROM labels
     UNION ALL SELECT 'doc' || doc_id::VARCHAR, 4, 'c2', 'Another paragraph, number ' || doc_id::VARCHAR || ', under its own key.' FROM labels""")
 def xml_notes(i):
-    return xml.notes(_files(i.table("labels"), "concat('doc', doc_id, '_notes')", _NOTE))
+    return xml.notes(_files(i.dealt("labels", "doc_id"), "concat('doc', doc_id, '_notes')", _NOTE))
 
 
 # Discovery feeds: ten entries a page, eight pages a feed.

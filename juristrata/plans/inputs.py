@@ -20,6 +20,12 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def dealt(self, name: str, key: str) -> DataFrame:
+        """A table dealt by its key to as many tasks as a shuffle has, before Python works on each row: a table in one
+        file, or one row group, would keep one core at work."""
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+        return self.table(name).repartition(tasks, key)
+
     @cached_property
     def t_raw(self) -> DataFrame:
         """Raw triples in arrival order, one an event."""

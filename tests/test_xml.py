@@ -1,8 +1,10 @@
 """XML sources on small documents of the same shapes."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from juristrata.operators import corpus
+from juristrata.plans.catalog import QUERIES
 from juristrata.sources import xml
 
 LEG = 'xmlns="http://www.legislation.gov.uk/namespaces/legislation" xmlns:ukm="http://www.legislation.gov.uk/namespaces/metadata"'
@@ -108,3 +110,10 @@ def test_odd_encodings_are_error_rows(spark):
     contents = [("a", '<?xml version="1.0" encoding="shift_jis"?><a/>'.encode()), ("b", '<?xml version="1.0" encoding="no-such"?><a/>'.encode()), ("c", b"<a/>")]
     got = {r["file"] for r in xml.parse_errors(spark.createDataFrame(contents, "file string, content binary")).collect()}
     assert got == {"a", "b"}
+
+
+def test_files_of_one_table_file_go_to_all_tasks(spark, tmp_path):
+    spark.createDataFrame([(k, "n", "b", "t", k) for k in range(40)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("xml_legislation", "xml_qualified_schedules", "xml_errors"):
+        parts = QUERIES[name](spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count()
+        assert parts > 1, name
