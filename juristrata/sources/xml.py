@@ -10,6 +10,7 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,24 +94,27 @@ def _provision(doc: Doc, node: ET.Element) -> dict:
 
 
 def legislation_rows(doc: Doc) -> Iterator[dict]:
-    """Provisions in document order, then the provisions of schedules once more."""
+    """Provisions in document order, then the provisions of schedules once more; again marks provisions whose text comes
+    up once more."""
     prelims = next((t for p in doc.all("PrimaryPrelims") if (t := doc.child(p, "Title")) is not None), None)
     title = prelims if prelims is not None else doc.first("Title")
     number, enacted = doc.first("Number"), next((t for d in doc.all("DateOfEnactment") if (t := doc.child(d, "DateText")) is not None), None)
     shared = {"title": doc.text(title) if title is not None else None, "number_text": doc.text(number) if number is not None else None, "enacted": doc.text(enacted), "terms": _terms(doc)}
+    schedules = [(s, n, _provision(doc, n)) for s in doc.all("Schedule") for n in doc.all("P1", below=s)]
+    twice = {row["text"] for *_, row in schedules}
     for node in doc.all("P1", "P1group"):
-        yield shared | {"kind": "provision"} | _provision(doc, node)
-    for schedule in doc.all("Schedule"):
+        row = _provision(doc, node)
+        yield shared | {"kind": "provision", "again": row["text"] in twice} | row
+    for schedule, group in groupby(schedules, lambda s: s[0]):
         number = doc.child(schedule, "Number")
         name = doc.text(number) if number is not None else "SCHEDULE"
-        for node in doc.all("P1", below=schedule):
-            row = _provision(doc, node)
+        for _, node, row in group:
             row |= {"heading": None, "part": name, "extent": node.get("RestrictExtent", schedule.get("RestrictExtent")), "restrict_date": node.get("RestrictStartDate", schedule.get("RestrictStartDate"))}
-            yield shared | {"kind": "schedule"} | row
+            yield shared | {"kind": "schedule", "again": False} | row
 
 
 LEGISLATION = (
-    "title string, number_text string, enacted string, terms map<string,string>, kind string, number string, node_id string, heading string,"
+    "title string, number_text string, enacted string, terms map<string,string>, kind string, again boolean, number string, node_id string, heading string,"
     " part string, extent string, restrict_date string, internal_refs array<string>, inline_amendments array<string>, text string"
 )
 
@@ -228,9 +232,7 @@ def legislation_chunks(files: DataFrame, qualify_schedule_ids: bool = False) ->
     section = F.when(F.col("kind") == "schedule", inside).otherwise(F.coalesce(blank_to_null(F.col("number")), blank_to_null(plain)))
     chunks = raw.withColumns({"doc_title": title, "year": year, "section": section}).where("section IS NOT NULL AND length(text) >= 20")
     if qualify_schedule_ids:
-        twice = chunks.where("kind = 'schedule'").select("file", F.col("text").alias("_text")).distinct()
-        first = chunks.join(twice, (chunks["file"] == twice["file"]) & (chunks["text"] == twice["_text"]) & (F.col("kind") == "provision"), "left_anti")
-        chunks = first
+        chunks = chunks.where("NOT again")
     optional = lambda name, label: F.when((F.coalesce(name, F.lit("")) != "") & (F.col("kind") == "provision"), F.concat(F.lit(f"{label}: "), F.col(name)))
     content = F.concat_ws(" | ", F.format_string("ACT: %s (%s)", "doc_title", "year"), F.concat(F.lit("SECTION: "), F.col("section")), optional("part", "PART"), optional("heading", "HEADING"), F.concat(F.lit("TEXT: "), F.col("text")))
     some = lambda c: F.when(F.size(c) > 0, F.col(c))

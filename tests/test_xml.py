@@ -117,3 +117,14 @@ def test_files_of_one_table_file_go_to_all_tasks(spark, tmp_path):
     for name in ("xml_legislation", "xml_qualified_schedules", "xml_errors"):
         parts = QUERIES[name](spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count()
         assert parts > 1, name
+
+
+def test_qualified_schedules_take_one_parse_and_no_join(spark, folder):
+    nested = ACT.replace('<P1 id="section-3"><Text>A provision without number of its own.', '<P1 id="section-3"><Text>1 First paragraph of the schedule. new words')
+    files = xml.read_files(spark, folder(ukpga_2024_2=nested, ukpga_2024_3=ACT))
+    chunks = xml.legislation_chunks(files, qualify_schedule_ids=True)
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Join" not in plan
+    # A text of a schedule drops every provision of its own file that has it, and none of another file.
+    got = [(r["file"], r["id"].split("_")[-1], r["part"]) for r in chunks.orderBy("file", "ord").collect()]
+    assert got == [(f, *row) for f, rest in (("ukpga_2024_2", []), ("ukpga_2024_3", [("3", None)])) for row in [("1", "General"), ("1", "General"), *rest, ("1", "SCHEDULE 1")]]
