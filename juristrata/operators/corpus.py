@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from juristrata.functions.text import body, id_prefix
+from juristrata.scratch import materialize
 
 
 HEAD = 10
@@ -13,11 +14,14 @@ HEAD = 10
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
-    """Chunks of all sources in one order: source by source, file by file, in document order."""
+    """Chunks of all sources in one order: source by source, file by file, in document order. The chunks
+    are computed when this is called, and stay in a scratch table that the result reads."""
     ranked = [s.withColumn("_rank", F.lit(i)) for i, s in enumerate(sources)]
     every = ranked[0]
     for s in ranked[1:]:
         every = every.unionByName(s, allowMissingColumns=True)
+    # The counts and the numbering both read the chunks, which are dear to parse: they are written once, to scratch.
+    every = materialize(every, "corpus-union")
     # Numbers are dealt by file: a running total over the files, then positions inside each file. The total is taken in
     # two levels, over the first characters of the names and inside each such group, so no task ranks all files.
     per_file = every.groupBy("_rank", "file").agg(F.count(F.lit(1)).alias("n")).withColumn("_head", F.left("file", F.lit(HEAD)))

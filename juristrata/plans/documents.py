@@ -115,8 +115,9 @@ def xml_judgments(i):
     SELECT row_number() OVER (ORDER BY rank, file, ord) - 1 AS seq, id, source FROM u""")
 def corpus_union(i):
     """Acts, then instruments, then judgments, numbered in one order."""
-    laws = xml.legislation_chunks(_acts(i))
-    return corpus.union_sources(laws.where("file LIKE 'ukpga%'"), laws.where("file LIKE 'uksi%'"), xml.judgment_chunks(_cases(i))).select("seq", "id", "source")
+    # Files are told apart before they are parsed, so each is parsed once.
+    laws = [xml.legislation_chunks(_acts(i).where(f"file LIKE '{kind}%'")) for kind in ("ukpga", "uksi")]
+    return corpus.union_sources(*(s.select("file", "ord", "id", "source") for s in (*laws, xml.judgment_chunks(_cases(i))))).select("seq", "id", "source")
 
 
 @query(f"""WITH {_CASE_ROWS} SELECT file || '.xml_' || section AS id, length(text) AS length FROM j WHERE length(text) >= 50""")

@@ -34,6 +34,19 @@ def test_numbers_of_many_files(spark):
     assert got == {k: i for i, k in enumerate([f"{f}|{o}" for f, o in sorted(rows)] + ["last"])}
 
 
+def test_union_reads_its_sources_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    table = spark.createDataFrame([(f"ukpga_2000_{k % 7}", k) for k in range(50)], "file string, ord long").mapInPandas(run, "file string, ord long").withColumn("key", F.concat_ws("|", "file", "ord"))
+    assert corpus.union_sources(table.where("file < 'ukpga_2000_3'"), table.where("file >= 'ukpga_2000_3'")).select("key", "seq").collect()[0] is not None
+    assert seen.value == 100  # two sources of 50 rows each
+
+
 def test_context_of_odd_rows(spark):
     edges = spark.createDataFrame(
         [("s1", "Rent Act 1977", "AMENDS", "Housing Act 1985 s.1", "d" * 100), ("s2", None, "CITES", "the Housing Act 1985", None), ("s3", "A v B", "CITES", None, None), ("s1", "Rent Act 1977", "AMENDS", "Housing Act 1985 s.1", "d" * 100)],
