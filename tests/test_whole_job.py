@@ -39,6 +39,37 @@ def test_topk_per_query_has_every_twentieth_row(spark, tmp_path):
     assert {(r["query_id"], r["pos"], r["rank"]) for r in blocks.collect()} == want
 
 
+def test_topk_keeps_k_rows_a_query_and_task(spark):
+    """However many Arrow batches a task reads, it hands on k rows a query."""
+    vectors = np.random.default_rng(4).integers(-2, 3, size=(90, 4)) / 4.0  # many ties
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    queries = table.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS q")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert search._block_top_k(table.coalesce(1), queries.toPandas(), 5, "vec_id", "embedding").count() == 5 * 5
+        got = search.batch_top_k(table, queries, 5, pos="vec_id").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {(r["query_id"], r["pos"], r["rank"]) for r in got} == nearest(vectors, list(range(0, 90, 20)), 5)
+
+
+def test_best_of_tiles_equals_a_sort():
+    r = np.random.default_rng(0)
+    for _ in range(200):
+        n, k, m, level = (int(r.integers(1, x)) for x in (6, 7, 40, 12))
+        s, ids = search._ordered(np.where(r.random((n, m)) < 0.05, np.nan, r.integers(-level, level + 1, (n, m)) / 10)), r.permutation(1000)[:m]
+        best, split = search.Best(n, k, ids.dtype), int(r.integers(0, n + 1))
+        for tile in np.array_split(r.permutation(m), r.integers(1, 5)):
+            tile = tile[np.argsort(ids[tile])]
+            for a, z in ((0, split), (split, n)):
+                if a < z and len(tile):
+                    best.add(a, s[a:z][:, tile], ids[tile])
+        for q in range(n):
+            order = np.lexsort((ids, -s[q]))[:k]
+            assert best.held[q] == len(order) and (best.ids[q, : len(order)] == ids[order]).all() and (best.s[q, : len(order)] == s[q][order]).all()
+
+
 def test_processable_caselaw_trims_as_its_sql(spark, tmp_path):
     inner = "x" * 48
     lines = [f"{inner}{end}" for end in ("xx", "xv", "x\x0b", "x\u00a0", "x ", "x\t", "x\x0c", "xvx")] + [f"v {inner}x", f"\x0b{inner}x", f"| TEXT:{inner}vv", f"{inner}xx| TEXT: short", ""]
