@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from juristrata.functions.text import clean_heading, display_label, id_prefix, node_type, normalize_action, snippet, strip
+from juristrata.scratch import materialize
 
 EDGE_KEY = ["source_id", "action_type", "target"]
 
@@ -231,17 +232,26 @@ def chunk_context(chunks: DataFrame, edge_rows: DataFrame, acts: int = 5, lines:
 
     An act's name starts with a capital and ends with a year, so the parts of a title or target that could hold it are
     few, and the containment is an equi-join on them; titles of another shape must equal the whole. Edges are ranked
-    before chunks meet them, so a much-named act brings `lines` edges to each chunk and no more."""
+    before chunks meet them, so a much-named act brings `lines` edges to each list of names and no more. The answers of
+    the lists are computed when this is called, and stay in a scratch table that the result reads: where it is small, it
+    is broadcast, and the chunks' lines are never shuffled."""
     own = F.filter(F.array(strip(F.col("doc_title"))), lambda t: t != "")
     names = F.array_distinct(F.concat(F.transform(F.regexp_extract_all("content", F.lit(NAMED_ACT), 1), strip), F.coalesce(own, F.array().cast("array<string>"))))
-    named = chunks.select("id", F.posexplode(F.slice(names, 1, acts)).alias("p", "name"))
+    placed = F.transform(F.slice(names, 1, acts), lambda name, p: F.struct((p + 1).alias("p"), name.alias("name")))
+    some = chunks.select("id", placed.alias("named")).where(F.size("named") > 0)
+    # Rows of one id meet before anything is looked up: only names are shuffled.
+    by_id = some.repartition("id").groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("named")))).alias("named"))
     both = edge_rows.withColumn("line", F.concat(F.lit("["), "action_type", F.lit("] "), "source_id", F.lit(" -> "), "target", F.coalesce(F.concat(F.lit(" | "), F.left("detail", F.lit(detail))), F.lit(""))))
     held = both.withColumn("name", F.explode(F.array_distinct(F.concat(_holdable(F.col("source_title")), _holdable(F.col("target"))))))
     rank = F.row_number().over(Window.partitionBy("name").orderBy("source_id", "action_type", "target", "line"))
     first = held.select("name", "line", rank.alias("k")).where(F.col("k") <= lines)
-    met = named.join(first, "name").groupBy("id", "line").agg(F.min(F.struct("p", "k")).alias("at"))
-    shown = F.slice(F.sort_array(F.collect_list(F.struct("at", "line"))), 1, lines)
-    return met.groupBy("id").agg(F.array_join(F.transform(shown, lambda s: s["line"]), "\n").alias("context"))
+    told = first.groupBy("name").agg(F.collect_list(F.struct("k", "line")).alias("told"))
+    # Each list of names is answered once, however many chunks have it.
+    met = by_id.select("named").distinct().select("named", F.explode("named").alias("at")).select("named", "at.p", "at.name").join(told, "name")
+    every = F.sort_array(F.flatten(F.collect_list(F.transform("told", lambda t: F.struct(F.col("p").alias("p"), t["k"].alias("k"), t["line"].alias("line"))))))
+    shown = F.slice(F.array_distinct(F.transform(every, lambda t: t["line"])), 1, lines)
+    answers = materialize(met.groupBy("named").agg(F.array_join(shown, "\n").alias("context")), "chunk-context")
+    return by_id.join(answers, "named").select("id", "context")
 
 
 def _holdable(text: Column) -> Column:

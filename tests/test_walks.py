@@ -61,3 +61,22 @@ def test_validity_counts_bytes(spark):
     table = spark.createDataFrame([("p_1", b"<a/>"), ("p_2", b"<a>"), ("q_1", b"<b></b>")], "file string, content binary")
     got = {r["folder"]: tuple(r)[1:] for r in xml.validity(table, F.left("file", F.lit(1))).collect()}
     assert got == {"p": (2, 1, 1, 7), "q": (1, 1, 0, 7)}
+
+
+def test_context_shuffles_names_and_not_lines(spark):
+    edges = spark.createDataFrame([(f"s{k:02}", f"Rent Act {1970 + k % 3}", "CITES", f"Housing Act {1980 + k % 2} s.{k}", None) for k in range(60)], "source_id string, source_title string, action_type string, target string, detail string")
+    texts = ["1 Rent Act 1970, 2 Housing Act 1981", "1 Housing Act 1981, 2 Rent Act 1970", "1 Rent Act 1999", "1 Rent Act 1999, 2 Rent Act 1971", ""]
+    chunks = spark.createDataFrame([(k, texts[k % 5], None) for k in range(40)] + [(0, "1 Rent Act 1972", "Housing Act 1980")], "id long, content string, doc_title string").repartition(4)
+    found = graph.chunk_context(chunks, edges)
+    assert "line" not in found._jdf.queryExecution().executedPlan().toString()
+
+    def first(name):
+        return [f"[CITES] s{k:02} -> Housing Act {1980 + k % 2} s.{k}" for k in range(60) if name in (f"Rent Act {1970 + k % 3}", f"Housing Act {1980 + k % 2}")][:15]
+
+    def context(named):
+        placed = sorted((p, k, line) for p, name in named for k, line in enumerate(first(name)))
+        return list(dict.fromkeys(line for *_, line in placed))[:15]
+
+    lists = {0: [(1, "Rent Act 1970"), (2, "Housing Act 1981")], 1: [(1, "Housing Act 1981"), (2, "Rent Act 1970")], 3: [(1, "Rent Act 1999"), (2, "Rent Act 1971")]}
+    want = {k: context(lists[k % 5]) for k in range(40) if k % 5 in lists} | {0: context(lists[0] + [(1, "Rent Act 1972"), (2, "Housing Act 1980")])}
+    assert {r["id"]: r["context"].split("\n") for r in found.collect()} == want
